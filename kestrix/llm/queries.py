@@ -35,6 +35,13 @@ def op2(spark, sf_dir):
     return read_back(format_chats(turns))
 
 
+@query("op3_html_extraction")
+def op3(spark, sf_dir):
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query("op4_quality_rules")
 def op4(spark, sf_dir):
     from .quality import quality
@@ -91,6 +98,14 @@ def op8(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op9_source_mixing")
+def op9(spark, sf_dir):
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "epoch", "block", "n_tokens", "position")
+
+
 @query("op10_language_id")
 def op10(spark, sf_dir):
     from .language import identify_documents
