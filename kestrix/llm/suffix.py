@@ -177,7 +177,7 @@ def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from out([c[some] for c in cols], False)
 
 
-SUFFIX = "l1 long, l2 long, id long, no int, pos int, span int, near binary"
+SUFFIX = "id long, no int, pos int, span int, near binary"
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,38 +185,45 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A row without surroundings is a finding: bytes pos to span repeat.
     """
-    unpack = zstandard.ZstdDecompressor()
+    unpack = zstandard.ZstdDecompressor().decompress
+    names = ["id", "no", "pos", "span", "near"]
     for b in batches:
-        ids, nos = b.column(0).to_pylist(), b.column(1).to_pylist()
-        rows = [[] for _ in range(7)]
+        ids, nos, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+        cand, off = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        pos, span = (cand.field(c).to_numpy() for c in (0, 1))
+        hot = cand.field(2).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(lists)), np.diff(off))
+        low, high = (pos - (span >> 8)).tolist(), (pos - (span & 255) + LENGTH).tolist()
+        near: list[bytes] = []
+        found: list[tuple] = []
         windows: dict[bytes, tuple] = {}
-
-        def put(*row):
-            for c, v in zip(rows, row):
-                c.append(v)
-
-        def lead(x: bytes) -> tuple[int, int]:
-            x = x.ljust(16, b"\0")
-            return int.from_bytes(x[:8], "big") - (1 << 63), int.from_bytes(x[8:16], "big") - (1 << 63)
-
-        for i, (z, c) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
-            text = unpack.decompress(z.as_py())
-            for x in c:
-                p, least, most = x["pos"], x["span"] & 255, x["span"] >> 8
-                if not x["hot"]:
-                    put(*lead(text[p : p + 16]), ids[i], nos[i], p, x["span"], text[p - most : p - least + LENGTH])
+        is_hot, bounds = hot.tolist(), off.tolist()
+        for i, z in enumerate(b.column(2)):
+            text = unpack(z.as_py())
+            for k in range(bounds[i], bounds[i + 1]):
+                if not is_hot[k]:
+                    near.append(text[low[k] : high[k]])
                     continue
-                for w in range(p - most, p - least + 1):
+                for w in range(low[k], high[k] - LENGTH + 1):
                     key = text[w : w + LENGTH]
-                    now, was = (ids[i], nos[i], w), windows.get(key)
+                    now, was = (int(ids[i]), int(nos[i]), w), windows.get(key)
                     if was is None or now < was:
                         windows[key], now = now, was
                     if now is not None:
-                        put(now[0], now[2], *now, now[2] + LENGTH, None)
-        for key, (d, n, w) in windows.items():
-            put(*lead(hashlib.md5(key).digest()), d, n, w, 0, key)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["l1", "l2", "id", "no", "pos", "span", "near"])
+                        found.append(now)
+        cold = ~hot
+        yield pa.RecordBatch.from_arrays([pa.array(ids[doc[cold]]), pa.array(nos[doc[cold]]), pa.array(pos[cold]), pa.array(span[cold]), pa.array(near, pa.binary())], names)
+        if windows:
+            rows = [*((*v, 0, k) for k, v in windows.items()), *((*v, v[2] + LENGTH, None) for v in found)]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def _leads(span: np.ndarray, near: pa.Array) -> np.ndarray:
+    """The 16 bytes from each suffix's own position on, as two numbers."""
+    s, off = _binary(near)
+    at = off[:-1] + (span >> 8)
+    return np.ascontiguousarray(s[at[:, None] + np.arange(16)]).view(">u8").astype(_U)
 
 
 def multikey(group: np.ndarray, word, depths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,10 +259,11 @@ def _later(items: np.ndarray, group: np.ndarray) -> np.ndarray:
     return items[1:][group[1:] == group[:-1]] if len(items) else items
 
 
-def resolve(l1, l2, ids, nos, pos, span, near: pa.Array) -> tuple[np.ndarray, ...]:
+def resolve(ids, nos, pos, span, near: pa.Array) -> tuple[np.ndarray, ...]:
     """(id, no, start, end) of repeated bytes among suffixes with whole lead groups."""
     order = np.lexsort((pos, nos, ids))
-    l1, l2, ids, nos, pos, span = (x[order] for x in (l1, l2, ids, nos, pos, span))
+    leads = _leads(span, near)[order]
+    ids, nos, pos, span = (x[order] for x in (ids, nos, pos, span))
     s, off = _binary(near)
     n, width = len(order), REACH + LENGTH
     least, most = (span & 255).astype(np.int64), (span >> 8).astype(np.int64)
@@ -266,7 +274,10 @@ def resolve(l1, l2, ids, nos, pos, span, near: pa.Array) -> tuple[np.ndarray, ..
     w2 = flat[:-1].astype(_U) << _U(8) | flat[1:]
     w4 = w2[:-2] << _U(16) | w2[2:]
     words = w4[:-4] << _U(32) | w4[4:]
-    lead = np.unique(np.stack([l1, l2], 1), axis=0, return_inverse=True)[1].reshape(-1).astype(np.int64)
+    by_lead = np.lexsort((leads[:, 1], leads[:, 0]))
+    differ = np.any(leads[by_lead[1:]] != leads[by_lead[:-1]], axis=1)
+    lead = np.empty(n, np.int64)
+    lead[by_lead] = np.concatenate([[0], np.cumsum(differ)])
     # equal surroundings: every later one repeats as a whole
     tied, group = multikey(lead << 16 | span, lambda i, d: words[i * width + 8 * d], list(range(width // 8)))
     whole = _later(tied, group)
@@ -300,14 +311,14 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(table: pa.Table) -> pa.RecordBatch:
         t = table.combine_chunks()
-        return rows(resolve(*(t.column(c).to_numpy() for c in range(6)), t.column(6).combine_chunks() if t.column(6).num_chunks != 1 else t.column(6).chunk(0)))
+        return rows(resolve(*(t.column(c).to_numpy() for c in range(4)), t.column(4).chunk(0)))
 
     held, size = [], 0
     for b in batches:
-        plain = b.column(6).is_null().to_numpy(zero_copy_only=False)
+        plain = b.column(4).is_null().to_numpy(zero_copy_only=False)
         if plain.any():
             f = b.filter(pa.array(plain))
-            yield rows([f.column(c).to_numpy() for c in (2, 3, 4, 5)])
+            yield rows([f.column(c).to_numpy() for c in range(4)])
             b = b.filter(pa.array(~plain))
         while b.num_rows:
             take = b.slice(0, CHUNK)
@@ -316,13 +327,14 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += take.num_rows
             if size < CHUNK:
                 continue
-            whole = pa.Table.from_batches(held)
-            l1, l2 = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            cut = int(np.flatnonzero((l1 != l1[-1]) | (l2 != l2[-1]))[-1]) + 1 if (l1[0], l2[0]) != (l1[-1], l2[-1]) else 0
+            leads = _leads(take.column(3).to_numpy(), take.column(4))
+            other = np.flatnonzero((leads != leads[-1]).any(axis=1))
+            cut = size - take.num_rows + int(other[-1]) + 1 if len(other) else 0  # the last lead may go on
             if cut:
+                whole = pa.Table.from_batches(held)
                 yield done(whole.slice(0, cut))
-            held = [x for x in whole.slice(cut).to_batches() if x.num_rows]
-            size -= cut
+                held = [x for x in whole.slice(cut).to_batches() if x.num_rows]
+                size -= cut
     if held:
         yield done(pa.Table.from_batches(held))
 
@@ -374,13 +386,16 @@ def repeats(docs: DataFrame) -> DataFrame:
             z = pa.array([press.compress(t.as_buffer()) for t in b.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z], ["id", "no", "z"])
 
-    texts = rows.mapInArrow(packed, "id long, no int, z binary").repartition(parts, "id", "no")
+    # columns that can't be null leave both joins the same plan below, so one exchange of the texts serves both
+    texts = rows.mapInArrow(packed, "id long not null, no int not null, z binary not null").repartition(parts, "id", "no")
     found = rows.mapInArrow(_anchor_rows, "h long, id long, no int, pos int, span int").repartition(many, "h")
-    found = found.mapInArrow(_repeated_rows, "id long, no int, pos int, span int, hot boolean")
+    found = found.mapInArrow(_repeated_rows, "id long not null, no int not null, pos int, span int, hot boolean")
     wanted = found.groupBy("id", "no").agg(F.collect_list(F.struct("pos", "span", "hot")).alias("c"))
     near = texts.join(wanted.hint("shuffle_hash"), ["id", "no"]).select("id", "no", "z", "c").mapInArrow(_suffix_rows, SUFFIX)
-    buckets = near.repartitionByRange(parts, "l1", "l2").sortWithinPartitions("l1", "l2")
-    spans = buckets.mapInArrow(_span_rows, "id long, no int, start int, end int")
+    own = F.substring(F.col("near"), F.shiftright("span", 8) + 1, F.lit(16))
+    lead = F.coalesce(own, F.unhex(F.md5(F.col("id").cast("string").cast("binary"))))  # findings only pass through
+    buckets = near.repartitionByRange(parts, lead).sortWithinPartitions(lead)
+    spans = buckets.mapInArrow(_span_rows, "id long not null, no int not null, start int, end int")
     spans = spans.groupBy("id", "no").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return texts.join(spans.hint("shuffle_hash"), ["id", "no"], "left").select("id", "no", "z", "spans")
 
