@@ -55,13 +55,13 @@ def shard(df: DataFrame, bags: list[str], index_table: DataFrame, uid: str = "ui
     long = df.select(uid, F.explode(bag).alias("f")).select(uid, key(F.col("f.name"), F.col("f.term")).alias("key"), F.col("f.value").alias("val"))
     small = index_table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known = long.join(F.broadcast(index_table) if small else index_table, "key")
-    vectors = known.groupBy(uid).agg(F.sort_array(F.collect_list(F.struct("idx", "val"))).alias("v"))
-    vectors = vectors.select(uid, F.when(F.size(F.array_distinct(F.transform("v", lambda x: x["idx"]))) < F.size("v"), F.raise_error(F.lit("duplicate features"))).otherwise(F.col("v")).alias("v"))
-    joined = df.join(vectors, uid, "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<idx:int,val:double>>")))
+    vectors = known.groupBy(uid).agg(F.sort_array(F.collect_list(F.struct("idx", "val"))).alias("__v"))
+    vectors = vectors.select(uid, F.when(F.size(F.array_distinct(F.transform("__v", lambda x: x["idx"]))) < F.size("__v"), F.raise_error(F.lit("duplicate features"))).otherwise(F.col("__v")).alias("__v"))
+    joined = df.join(vectors, uid, "left").withColumn("__v", F.coalesce("__v", F.array().cast("array<struct<idx:int,val:double>>")))
     if intercept:
         at = index_table.where(F.col("key") == INTERCEPT + SEPARATOR).first()["idx"]
-        joined = joined.withColumn("v", F.concat("v", F.array(F.struct(F.lit(at).alias("idx"), F.lit(1.0).alias("val")))))
-    return joined.withColumn(name, F.col("v")).drop("v")
+        joined = joined.withColumn("__v", F.concat("__v", F.array(F.struct(F.lit(at).alias("idx"), F.lit(1.0).alias("val")))))
+    return joined.withColumn(name, F.col("__v")).drop("__v")
 
 
 def duplicates(df: DataFrame, bags: list[str], uid: str = "uid") -> DataFrame:
