@@ -350,9 +350,9 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _size(df: DataFrame) -> int:
-    """Bytes the optimizer expects df to have."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _size(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 ID, NO = "__suffix_id", "__suffix_no"
@@ -375,9 +375,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     shorter than LENGTH bytes keep everything.
     """
     spark = docs.sparkSession
-    size = _size(docs.select("doc_id", "text"))
+    size = _size(docs)
     parts = max(shuffle_partitions(spark), math.ceil(size / (128 << 20)))
-    many = max(parts, math.ceil(2.5 * size / (REACH + 2) * 2 / ANCHORS))
+    many = max(parts, math.ceil(size / (REACH + 2) * 2 / ANCHORS))  # an anchor every half reach
     rows = numbered(docs).select(F.col(ID).alias("id"), F.col(NO).alias("no"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
