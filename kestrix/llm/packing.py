@@ -148,7 +148,7 @@ def _planned(histogram: dict[int, int], capacity: int, configure: bool) -> tuple
                 if not room:
                     groups.append([])
                     room = each
-        groups = [g for g in groups if g]
+        groups = [[[k, left[k]]] for k in large] if len(large) <= GROUPS else [g for g in groups if g]
         merged: dict[int, list] = {}
         for g in groups:  # groups that round up to one size are one
             merged.setdefault(g[0][0], []).extend(g)
@@ -223,11 +223,6 @@ class WordIds:
         self.full, self.size = Tokenizer.from_file(path), size
         self.known: dict[str, bytes] = {}
         self.model = self.full.model
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(128) if chr(b).isalpha()}
-        self.level = level
         self.special = tuple(x.content for x in self.full.get_added_tokens_decoder().values())
 
     def word(self, w: str) -> bytes:
