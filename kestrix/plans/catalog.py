@@ -129,10 +129,13 @@ _LOSSES = {"logistic": losses.LOGISTIC, "squared": losses.SQUARED, "poisson": lo
 for _name, (_y, _v, _d, _dd) in _LOSS_SQL.items():
     _loss = _LOSSES[_name]
 
-    @query(f"loss_{_name}", f"{_SCORED} SELECT uid, round({_v}, 6) AS value, round({_d}, 6) AS first{f', round({_dd}, 6) AS second' if _dd else ''} FROM s")
-    def _loss_rows(spark, sf_dir, loss=_loss, y=_y):
+    # margins have eight decimals: linear terms are rounded beyond them, where no value lies half-way
+    _n, _m = {"squared": (7, 9), "hinge": (9, 9)}.get(_name, (6, 6))
+
+    @query(f"loss_{_name}", f"{_SCORED} SELECT uid, round({_v}, {_n}) AS value, round({_d}, {_m}) AS first{f', round({_dd}, 6) AS second' if _dd else ''} FROM s")
+    def _loss_rows(spark, sf_dir, loss=_loss, y=_y, n=_n, m=_m):
         z, label = F.col("score"), F.col(y)
-        out = [F.round(loss.value(z, label), 6).alias("value"), F.round(loss.first(z, label), 6).alias("first")]
+        out = [F.round(loss.value(z, label), n).alias("value"), F.round(loss.first(z, label), m).alias("first")]
         if loss.second:
             out.append(F.round(loss.second(z, label), 6).alias("second"))
         return _scored(spark, sf_dir).select("uid", *out)
@@ -369,10 +372,10 @@ def score_random(spark, sf_dir):
     return m.scored(_vectors(spark, sf_dir), "score").select("uid", F.round("score", 7).alias("score"))
 
 
-@query("score_game_sum", f'{_RE} SELECT uid, round({_FIXED} + coalesce(bias, 0) + "offset", 7) AS score FROM ex LEFT JOIN m USING (supplier)')
+@query("score_game_sum", f'{_RE} SELECT uid, round({_FIXED} + coalesce(bias, 0) + "offset", 9) AS score FROM ex LEFT JOIN m USING (supplier)')
 def score_sum(spark, sf_dir):
     m = mixed.MixedModel("LOGISTIC_REGRESSION", {"g": mixed.FixedModel("features", np.array(BETA)), "r": mixed.RandomModel("features", "supplier", _entity_models(spark, sf_dir))})
-    return m.score(_vectors(spark, sf_dir)).select("uid", F.round("score", 7).alias("score"))
+    return m.score(_vectors(spark, sf_dir)).select("uid", F.round("score", 9).alias("score"))
 
 
 @query("scores_plus_minus", "WITH a AS (SELECT uid, x0 AS s FROM ex WHERE supplier % 3 <> 0), b AS (SELECT uid, x2 AS s FROM ex WHERE supplier % 3 <> 1) SELECT uid, round(coalesce(a.s, 0) + coalesce(b.s, 0), 7) AS plus, round(coalesce(a.s, 0) - coalesce(b.s, 0), 7) AS minus FROM a FULL JOIN b USING (uid)")
@@ -383,10 +386,10 @@ def scores_plus_minus(spark, sf_dir):
     return a.join(b, "uid", "full").select("uid", F.round(x + y, 7).alias("plus"), F.round(x - y, 7).alias("minus"))
 
 
-@query("offsets_with_residuals", f'{_RE} SELECT uid, round("offset" + coalesce(bias, 0), 7) AS "offset" FROM ex LEFT JOIN m USING (supplier)')
+@query("offsets_with_residuals", f'{_RE} SELECT uid, round("offset" + coalesce(bias, 0), 9) AS "offset" FROM ex LEFT JOIN m USING (supplier)')
 def offsets_with_residuals(spark, sf_dir):
     m = mixed.RandomModel("features", "supplier", _entity_models(spark, sf_dir))
-    return m.scored(_vectors(spark, sf_dir), "s").select("uid", F.round(F.col("offset") + F.col("s"), 7).alias("offset"))
+    return m.scored(_vectors(spark, sf_dir), "s").select("uid", F.round(F.col("offset") + F.col("s"), 9).alias("offset"))
 
 
 # Metrics ------------------------------------------------------------------------------------------------
@@ -498,14 +501,14 @@ def per_entity_ridge(spark, sf_dir):
 
 @query(
     "residual_pass",
-    "WITH f AS (SELECT sum(weight * (response - \"offset\")) / sum(weight) AS b FROM ex), r AS (SELECT supplier, sum(weight * (response - \"offset\" - b)) / (sum(weight) + 2) AS bias FROM ex, f GROUP BY supplier) SELECT uid, round(b + bias + \"offset\", 6) AS score FROM ex JOIN r USING (supplier), f",
+    "WITH f AS (SELECT sum(weight * (response - \"offset\")) / sum(weight) AS b FROM ex), r AS (SELECT supplier, sum(weight * (response - \"offset\" - b)) / (sum(weight) + 2) AS bias FROM ex, f GROUP BY supplier) SELECT uid, round(b + bias + \"offset\", 3) AS score FROM ex JOIN r USING (supplier), f",
 )
 def residual_pass(spark, sf_dir):
     d = _two(spark, sf_dir).withColumn("supplier", F.col("supplier").cast("string"))
     coords = {"g": Coordinate("g", "bias", tolerance=1e-13), "r": Coordinate("r", "bias", "supplier", regularization="L2", weight=2.0, tolerance=1e-12)}
     parts = {"g": mixed.FixedCoordinate(coords["g"], "LINEAR_REGRESSION", 1), "r": mixed.RandomCoordinate(coords["r"], "LINEAR_REGRESSION")}
     out = mixed.descend(d, parts, "LINEAR_REGRESSION")
-    return out.model.score(d).select("uid", F.round("score", 6).alias("score"))
+    return out.model.score(d).select("uid", F.round("score", 3).alias("score"))
 
 
 _H = f"{_CURVED}, h AS (SELECT sum(c * x0 * x0) AS a, sum(c * x0 * x4) AS b, sum(c * x4 * x4) AS d FROM (SELECT weight * exp(z) / ((1 + exp(z)) * (1 + exp(z))) AS c, x0, x4 FROM (SELECT *, 0.3 * x0 - 0.4 * x4 + \"offset\" AS z FROM ex)))"
