@@ -75,12 +75,13 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 3, F.lit(0).cast("long")).when(F.size(w) <= PACKED_WORDS, some).otherwise(exact(starts))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs with a struct column FEATURES: the five counts, total lines, upper-case letters, letters and bangs.
+def measures(text: Column) -> Column:
+    """A struct of the five counts, lines, upper-case letters and bangs of a text; all zero for null or empty text.
 
-    A null or empty text has zero everywhere.  Other columns stay as they are.
+    It is one expression that names the text once.  A plan that filters by
+    its fields must bind it (_let) or keep it, or each field is counted anew.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(text, F.lit(""))
     chars = lambda s: F.char_length(s).cast("long")
     less = lambda t, pattern: chars(t) - chars(F.regexp_replace(t, pattern, ""))
 
@@ -95,9 +96,18 @@ def features(docs: DataFrame) -> DataFrame:
             less(t, r"[A-ZÀ-Þ]").alias("n_upper"), less(t, "!").alias("n_bangs"),
         )
 
-    d = docs.withColumn(FEATURES, _let(text, counted))
-    f = F.col(FEATURES)
-    return d.withColumn(FEATURES, F.struct(f["w"]["n_words"].alias("n_words"), f["w"]["word_chars"].alias("word_chars"), f["n_symbols"].alias("n_symbols"), f["l"]["n_dup_lines"].alias("n_dup_lines"), f["w"]["n_repeat_words"].alias("n_repeat_words"), f["l"]["n_lines"].alias("n_lines"), f["n_upper"].alias("n_upper"), f["n_bangs"].alias("n_bangs")))
+    def flat(f: Column) -> Column:
+        return F.struct(
+            f["w"]["n_words"].alias("n_words"), f["w"]["word_chars"].alias("word_chars"), f["n_symbols"].alias("n_symbols"), f["l"]["n_dup_lines"].alias("n_dup_lines"),
+            f["w"]["n_repeat_words"].alias("n_repeat_words"), f["l"]["n_lines"].alias("n_lines"), f["n_upper"].alias("n_upper"), f["n_bangs"].alias("n_bangs"),
+        )
+
+    return _let(_let(text, counted), flat)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """docs with measures() as the column FEATURES."""
+    return docs.withColumn(FEATURES, measures(F.col("text")))
 
 
 def _base_failed(f: Column) -> Column:
@@ -171,14 +181,16 @@ def _whole():
 BROADCAST_STRATA = 10_000
 
 
-def _judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """measured with boolean columns base_failed and kept."""
+def _bounds(cutoffs: DataFrame) -> DataFrame:
+    """(__cut_stratum, __cut map rule -> cutoff), broadcast if it is small."""
     maps = cut(cutoffs.groupBy(F.col(STRATUM).alias("__cut_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cut")))
-    maps = F.broadcast(maps) if maps.count() <= BROADCAST_STRATA else maps
-    f = F.col(FEATURES)
-    broken = F.exists(F.map_entries(_ratios(f)), lambda e: F.coalesce(e["value"] > F.try_element_at(F.col("__cut"), e["key"]), F.lit(False)))
-    joined = measured.join(maps, F.col(STRATUM) == F.col("__cut_stratum"), "left")
-    return joined.withColumns({"base_failed": _base_failed(f), "kept": ~_base_failed(f) & ~F.when(F.col("__cut").isNull(), F.lit(False)).otherwise(broken)}).drop("__cut_stratum", "__cut")
+    return F.broadcast(maps) if maps.count() <= BROADCAST_STRATA else maps
+
+
+def _kept(f: Column, bounds: Column) -> Column:
+    """Whether measures pass the base rules and the cutoffs (null: none)."""
+    broken = F.exists(F.map_entries(_ratios(f)), lambda e: F.coalesce(e["value"] > F.try_element_at(bounds, e["key"]), F.lit(False)))
+    return ~_base_failed(f) & ~F.when(bounds.isNull(), F.lit(False)).otherwise(broken)
 
 
 def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -194,8 +206,10 @@ def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     slim = docs.select("doc_id", "text", lang.alias("lang"))
     measured = cut(features(slim).select("doc_id", F.coalesce("lang", F.lit("")).alias(STRATUM), FEATURES))
-    judged = _judged(measured, thresholds(measured, labels, risk, delta))
-    return judged.select("doc_id", *(F.col(FEATURES)[c].alias(c) for c in COUNTS), "base_failed", "kept")
+    bounds = _bounds(thresholds(measured, labels, risk, delta))
+    f = F.col(FEATURES)
+    joined = measured.join(bounds, F.col(STRATUM) == F.col("__cut_stratum"), "left")
+    return joined.select("doc_id", *(f[c].alias(c) for c in COUNTS), _base_failed(f).alias("base_failed"), _kept(f, F.col("__cut")).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -208,7 +222,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     good = labels.where("quality = 1").select(F.col("doc_id").alias("__good_id")).distinct()
     held = docs.select("doc_id", "text", lang.alias("lang")).join(good, F.col("doc_id") == F.col("__good_id"), "left_semi")
     stratum = F.coalesce(F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string"), F.lit(""))
-    measured = features(held).select("doc_id", F.coalesce("lang", F.lit("")).alias(STRATUM), FEATURES)
-    cutoffs = thresholds(measured, labels, risk, delta)
-    marked = features(docs).withColumn(STRATUM, stratum)
-    return _judged(marked, cutoffs).where("kept").select(*docs.columns)
+    measured = cut(features(held).select("doc_id", F.coalesce("lang", F.lit("")).alias(STRATUM), FEATURES))
+    bounds = _bounds(thresholds(measured, labels, risk, delta))
+    joined = docs.withColumn(STRATUM, stratum).join(bounds, F.col(STRATUM) == F.col("__cut_stratum"), "left")
+    return joined.where(_let(measures(F.col("text")), lambda f: _kept(f, F.col("__cut")))).select(*docs.columns)
