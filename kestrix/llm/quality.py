@@ -215,14 +215,13 @@ def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
 def keep_quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Rows of docs whose verdict is kept, all columns as they were.
 
-    Each row is judged by its own text, so repeated ids need no join; thresholds
-    come from a first pass over the labelled documents.
+    Each row is judged by its own text, so repeated ids need no join and texts
+    are never shuffled: a first pass counts all texts for the thresholds, whose
+    holdout is joined by id and counts alone, and a second one filters.
     """
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("__good_id")).distinct()
-    held = docs.select("doc_id", "text", lang.alias("lang")).join(good, F.col("doc_id") == F.col("__good_id"), "left_semi")
-    stratum = F.coalesce(F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string"), F.lit(""))
-    measured = cut(features(held).select("doc_id", F.coalesce("lang", F.lit("")).alias(STRATUM), FEATURES))
+    stratum = F.coalesce(lang, F.lit(""))
+    measured = cut(features(docs.select("doc_id", "text", stratum.alias(STRATUM))).select("doc_id", STRATUM, FEATURES))
     bounds = _bounds(thresholds(measured, labels, risk, delta))
     joined = docs.withColumn(STRATUM, stratum).join(bounds, F.col(STRATUM) == F.col("__cut_stratum"), "left")
     return joined.where(_let(measures(F.col("text")), lambda f: _kept(f, F.col("__cut")))).select(*docs.columns)
