@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled documents of each language the classifier is fitted on, at most; those of smallest hash.
@@ -95,16 +95,17 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
     executors and only counts (languages x buckets) reach the driver.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    # a bounded top-k of every partition before the shuffle: window group limits prune rank <= k early
-    from pyspark.sql import Window
-
-    ids = known.select("doc_id", "lang", F.xxhash64(F.lit("fit"), "doc_id").alias("h"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # a language's share of hashes that holds twice the rows wanted; only those are ranked
+    if not sizes:
+        return [], np.zeros((BUCKETS, 0))
+    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(2.0 * fit_rows / r["n"])) for r in sizes))
+    ids = known.select("doc_id", "lang", F.xxhash64(F.lit("fit"), "doc_id").alias("h")).where(F.col("h") / float(1 << 64) + 0.5 <= share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = ids.withColumn("r", rank).where(F.col("r") <= fit_rows)
-    bar = chosen.groupBy("lang").agg(F.max("h").alias("bar")).select(F.col("lang").alias("b_lang"), "bar")
-    bars = bar.limit(MAX_LANGUAGES + 1).collect()
-    if len(bars) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    bars = chosen.groupBy("lang").agg(F.max("h").alias("bar")).select(F.col("lang").alias("b_lang"), "bar").collect()
     langs = sorted(r["b_lang"] for r in bars)
     if not langs:
         return [], np.zeros((BUCKETS, 0))
