@@ -192,9 +192,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return rows.join(named, F.col("fp") == F.col("c_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """docs without the rows that are not their component's document; of rows with one doc_id one stays, all columns."""
-    found = near_duplicates(docs, width)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without the rows that are not their component's document; of rows with one doc_id one stays, all columns.
+
+    Components are those of five-word shingle sets of similarity 0.8 or more,
+    not of fingerprints.
+    """
+    from .near_copies import near_copies
+
+    found = near_copies(docs)
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("__kept_id")).select("__kept_id").distinct()
     one = docs.dropDuplicates(["doc_id"])
     return one.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").select(*docs.columns)

@@ -435,6 +435,49 @@ def test_links_of_random_fingerprints(spark, monkeypatch):
     assert all(got.get(k, k) == find(p, k) for k in p)
 
 
+def similar_texts(rng, n, j):
+    """A text of n five-word shingles and a copy with words changed until their Jaccard similarity is about j."""
+    a = [f"w{rng.getrandbits(40)}" for _ in range(n + 4)]
+    b = list(a)
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    now, steps = 1.0, 0
+    while now > j and steps < 10 * n:
+        before, k, steps = list(b), rng.randrange(n + 4), steps + 1
+        b[k] = f"v{rng.getrandbits(40)}"
+        got = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        if got < j:
+            b = before
+            if now - j < 0.012 or steps > 3 * n:
+                break
+        else:
+            now = got
+    return " ".join(a), " ".join(b), now
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_drop_near_duplicates_of_similarity(spark, block, monkeypatch):
+    from kestrix.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng, texts, pairs = random.Random(3), [], []
+    for k in range(80):
+        a, b, j = similar_texts(rng, 200, 0.8 + 0.002 * k)
+        pairs.append((len(texts), j))
+        texts += [a, b]
+    assert all(j >= 0.8 for _, j in pairs)
+    far = []
+    for _ in range(20):
+        a, b, j = similar_texts(rng, 200, 0.7)
+        if j < 0.8:
+            far.append(len(texts))
+            texts += [a, b]
+    base = texts[0].split()
+    texts += [" ".join([*base[:150], *(f"u{c}x{k}" for k in range(8)), *base[158:]]) for c in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert far and kept == {i for i, _ in pairs} | set(far) | {i + 1 for i in far}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 9), (None, 4), (20, 10)] + [(i, i + 1) for i in range(100, 160)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
