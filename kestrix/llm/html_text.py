@@ -140,13 +140,17 @@ def blocks(page: str) -> list[Block]:
             continue
         close()
         heading = not shut and len(name) == 2 and name[0] == "h" and name[1].isdigit()
-        if name in VOID or name == "p" and not attributes:
+        if stack and stack[-1][0] == "p" and not shut:  # a block start closes an open paragraph
+            stack.pop()
+        if name in VOID or name == "p" and not attributes and not shut:
             continue
         if shut:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
+                if name == "p":  # paragraphs hold no blocks, so an open one is innermost
+                    break
             continue
         frame, article = stack[-1][1:] if stack else (False, False)
         marked = _marks_frame(name, attributes, article)

@@ -217,6 +217,15 @@ def test_html_articles_whole():
         assert html_text.main_text(page) == "\n\n".join(" ".join(b.split()) for b in blocks)
 
 
+def test_html_marked_paragraphs_end():
+    text = LONG.strip()
+    for mark in ("class='author'", 'class="share"', "class=ad", 'id="notice"', "hidden"):
+        for end in ("</p>", ""):
+            assert html_text.main_text(f"<article><p {mark}>By X{end}<p>{text}</p><div>{text}</div></article>") == f"{text}\n\n{text}"
+            assert html_text.main_text(f"<div><p {mark}>{text}{end}<article><p class=lead>{text}<p>{text}</article></div>") == f"{text}\n\n{text}"
+            assert html_text.main_text(f"<article><p {mark}>By X{end}<ul><li>{text}</ul><p>{text}</article>") == f"{text}\n\n{text}"
+
+
 # quality --------------------------------------------------------------------------------------------
 
 def counts(t):
