@@ -193,14 +193,20 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are not their component's document; of rows with one doc_id one stays, all columns.
+    """One row of each component of docs, all columns.
 
     Components are those of five-word shingle sets of similarity 0.8 or more,
-    not of fingerprints.
+    not of fingerprints.  The row of the smallest doc_id stays, null ids last,
+    then that of the smallest XXH64 of the text.  If rows of one id would stay
+    for several components, only the one of smallest XXH64 does; null ids are
+    no documents of one id.  Of rows with equal id and text any one stays.
     """
     from .near_copies import near_copies
 
-    found = near_copies(docs)
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("__kept_id")).select("__kept_id").distinct()
-    one = docs.dropDuplicates(["doc_id"])
-    return one.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").select(*docs.columns)
+    names = ["__null", "__id", "__th"]
+    first = near_copies(docs).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("th").alias("__th"))).alias("r")).select("r.*")
+    several = F.when(F.col("__null"), F.col("__th"))
+    kept = first.groupBy("__null", "__id", several.alias("__own")).agg(F.min("__th").alias("__th")).select(*names)
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.withColumns({"__null": doc_id.isNull(), "__id": F.coalesce(doc_id, F.lit(0)), "__th": F.xxhash64(F.col("text").cast("string"))})
+    return rows.dropDuplicates(names).join(kept, names, "left_semi").select(*docs.columns)

@@ -487,6 +487,15 @@ def test_drop_near_duplicates_of_similarity(spark, block, monkeypatch):
     assert far and kept == {i for i, _ in pairs} | set(far) | {i + 1 for i in far}
 
 
+def test_drop_near_duplicates_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    rows = [(1, a), (7, a), (7, b), (None, c), (None, c), (None, d), (None, a)]
+    for n in (1, 3):
+        kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == collections.Counter([(1, a), (7, b), (None, c), (None, d)])
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 9), (None, 4), (20, 10)] + [(i, i + 1) for i in range(100, 160)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
