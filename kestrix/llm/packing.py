@@ -4,16 +4,19 @@ Lengths are at most the capacity, so a histogram of them is all the planner
 needs, whatever the number of documents.  Large lengths are cut into groups of
 equal cardinality and rounded up within their group; configurations of the few
 rounded sizes are optimised by column generation (a linear program over
-configurations, rounded down, the rest by best fit); actual documents take the
-places of rounded ones, and small documents are put best-fit into what is
-left.  The plan is a table of places ``length, ranks, sequence, offset`` with
-runs of equal sequences folded together.
+configurations, rounded down).  Actual documents take the places of rounded
+ones: a slot gets the longest document that leaves the later slots their
+rounded sizes, so what rounding wastes in one slot lets the next take a longer
+document.  Documents without a slot are put best-fit into what is left.  The
+plan is a table of places ``length, ranks, sequence, offset`` with runs of
+equal sequences folded together.
 """
 
 from __future__ import annotations
 
 import os
-from bisect import bisect_left
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 CAPACITY = 2048
-#: Lengths over this share of the capacity are large.
-LARGE = 0.25
+#: Lengths over this share of the capacity are large: the shares that are tried.
+LARGE = (0.4, 0.34, 0.25, 0.15)
 #: Groups of rounded sizes, and configurations tried at most.
 GROUPS, COLUMNS = 24, 200
 #: Parts a length is dealt into while documents are ranked.
@@ -118,102 +121,107 @@ class _Bins:
         self.places.append((length, rank, count, first, offset))
 
 
+def _groups(histogram: dict[int, int], least: float) -> tuple[list[int], np.ndarray]:
+    """Rounded sizes, longest first, and how many large documents each stands for.
+
+    Groups have equal cardinality and round up to their longest length; those
+    that round to one size are one.  With few large lengths each is a group.
+    """
+    large = sorted((k for k, n in histogram.items() if n and k > least), reverse=True)
+    each = -(-sum(histogram[k] for k in large) // GROUPS)
+    merged, size, room = {}, 0, 0
+    for k in large:
+        n = histogram[k]
+        while n:
+            if not room or len(large) <= GROUPS:
+                size, room = k, n if len(large) <= GROUPS else each
+            take = min(n, room)
+            merged[size] = merged.get(size, 0) + take
+            n, room = n - take, room - take
+    return list(merged), np.array(list(merged.values()), float)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Places (length, first rank, count, first sequence, offset) and the number of sequences.
 
-    Documents of a length are interchangeable and ranked from 0.  The result
-    is never worse than best-fit decreasing: both are made and the one with
-    fewer sequences is taken.
+    Documents of a length are interchangeable and ranked from 0.  Grouped
+    plans are made for each share in LARGE until one has no more sequences
+    than the tokens fill; else the shortest is taken.  An empty histogram needs
+    no sequence.
     """
     if any(not 1 <= length <= capacity for length in histogram):
         raise ValueError("lengths must lie between 1 and the capacity")
-    grouped, plain = _planned(histogram, capacity, True), _planned(histogram, capacity, False)
-    return min(grouped, plain, key=lambda p: p[1])
+    bound, best = -(-sum(k * n for k, n in histogram.items()) // capacity), None
+    for share in LARGE:
+        found = _grouped(histogram, capacity, share)
+        best = min(filter(None, (best, found)), key=lambda p: p[1])
+        if best[1] == bound:
+            break
+    return best
 
 
-def _planned(histogram: dict[int, int], capacity: int, configure: bool) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def _grouped(histogram: dict[int, int], capacity: int, share: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
     bins, used = _Bins(capacity), dict.fromkeys(histogram, 0)
     left = {k: n for k, n in histogram.items() if n}
-    large = sorted((k for k in left if k > capacity * LARGE), reverse=True)
-    total = sum(left[k] for k in large)
-    if configure and total:
-        # equal-cardinality groups over the sorted large lengths; a group's runs are (length, count), longest first
-        each, groups, room = -(-total // GROUPS), [[]], -(-total // GROUPS)
-        for k in large:
-            n = left[k]
-            while n:
-                take = min(n, room)
-                groups[-1].append([k, take])
-                n, room = n - take, room - take
-                if not room:
-                    groups.append([])
-                    room = each
-        groups = [[[k, left[k]]] for k in large] if len(large) <= GROUPS else [g for g in groups if g]
-        merged: dict[int, list] = {}
-        for g in groups:  # groups that round up to one size are one
-            merged.setdefault(g[0][0], []).extend(g)
-        sizes = list(merged)
-        demand = np.array([sum(n for _, n in merged[s]) for s in sizes], float)
-        for choice, times in _configurations(sizes, demand, capacity):
-            have = [sum(n for _, n in merged[s]) for s in sizes]
-            times = min([times, *(h // c for h, c in zip(have, choice) if c)])
-            if times <= 0:
-                continue
-            # every slot of the configuration takes `times` documents of its group, longest first
-            runs = [(bins.next, times, 0)]
-            bins.next += times
-            for i, c in enumerate(choice):
-                for _ in range(c):
-                    after = []
-                    for first, count, offset in runs:
-                        while count:
-                            run = merged[sizes[i]][0]
-                            n = min(count, run[1])
-                            bins.place(run[0], used[run[0]], first, n, offset)
-                            used[run[0]] += n
-                            left[run[0]] -= n
-                            after.append((first, n, offset + run[0]))
-                            first, count, run[1] = first + n, count - n, run[1] - n
-                            if not run[1]:
-                                merged[sizes[i]].pop(0)
-                    runs = after
-            for first, n, offset in runs:
-                bins.add(capacity - offset, first, n)
-    for k in sorted(left, reverse=True):  # the rest: best fit, longest first, whole runs at a time
-        n = left[k]
-        while n:
+    have = sorted(left)
+
+    def place(length: int, first: int, count: int, offset: int) -> None:
+        bins.place(length, used[length], first, count, offset)
+        used[length] += count
+        left[length] -= count
+        if not left[length]:
+            have.pop(bisect_left(have, length))
+
+    sizes, demand = _groups(left, capacity * share)
+    full = lambda choice: sum(s * c for s, c in zip(sizes, choice))
+    for choice, times in sorted(_configurations(sizes, demand, capacity) if sizes else [], key=lambda c: -full(c[0])):
+        runs = [(bins.next, times, 0)]
+        bins.next += times
+        later = full(choice)
+        for size in (s for s, c in zip(sizes, choice) for _ in range(c)):
+            later -= size
+            after = []
+            for first, count, offset in runs:
+                while count:
+                    at = bisect_right(have, capacity - offset - later) - 1
+                    if at < 0:
+                        after.append((first, count, offset))
+                        break
+                    n = min(count, left[have[at]])
+                    after.append((first, n, offset + have[at]))
+                    place(have[at], first, n, offset)
+                    first, count = first + n, count - n
+            runs = after
+        for first, n, offset in runs:
+            bins.add(capacity - offset, first, n)
+    for k in have[::-1]:  # the rest: best fit, longest first, whole runs at a time
+        while k in left and left[k]:
             room = bins.best(k)
             if room is None:
-                per = capacity // k
-                whole, rest = divmod(n, per)
-                for count, times in ((whole, per), (1 if rest else 0, rest)):
-                    if count:
-                        for t in range(times):
-                            bins.place(k, used[k], bins.next, count, t * k)
-                            used[k] += count
-                        bins.add(capacity - times * k, bins.next, count)
-                        bins.next += count
-                break
-            first, count = bins.take(room)
-            per = room // k
-            whole = min(count, n // per)
-            times, here = (per, whole) if whole else (n, 1)
+                room, first, count = capacity, bins.next, -(-left[k] // (capacity // k))
+                bins.next += count
+            else:
+                first, count = bins.take(room)
+            whole = min(count, left[k] // (room // k))
+            times, here = (room // k, whole) if whole else (left[k], 1)
             for t in range(times):
-                bins.place(k, used[k], first, here, capacity - room + t * k)
-                used[k] += here
+                place(k, first, here, capacity - room + t * k)
             bins.add(room - times * k, first, here)
             bins.add(room, first + here, count - here)
-            n -= times * here
     return bins.places, bins.next
 
 
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 class WordIds:
     """Token ids of a text, remembered by white-space-separated word.
 
     The vocabulary's pre-tokenizer never joins characters across white space,
     so a text's ids are the concatenation of its words' ids.  Texts with rarer
-    white space or control characters, and words that are not plain letters
-    with one mark after them, go through the tokenizer itself.
+    white space or control characters, and words that are not plain Latin
+    letters with one mark after them, go through the tokenizer itself: lower
+    case makes letters and marks of some other letters, which join the mark.
     """
 
     def __init__(self, path: str, size: int = CACHE):
@@ -230,7 +238,7 @@ class WordIds:
         if found is not None:
             return found
         mark = w[-1]
-        if mark in ".,!?;:" and len(w) > 1 and w[:-1].isalpha():
+        if mark in ".,!?;:" and len(w) > 1 and _PLAIN.fullmatch(w, 0, len(w) - 1):
             ids = self.word(w[:-1]) + self.word(mark)
             if len(self.known) < self.size:
                 self.known[w] = ids

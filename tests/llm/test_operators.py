@@ -111,6 +111,24 @@ def test_plan_beats_best_fit_where_configurations_matter():
         packing.plan({3000: 1})
 
 
+def test_plan_reaches_the_bound_on_many_lengths():
+    """Grouped and rounded lengths: no more than one sequence in a thousand over what the tokens fill."""
+    rng = random.Random(8)
+    for spread in (0.6, 1.0, 1.4):
+        histogram = dict(collections.Counter(min(packing.CAPACITY, max(20, int(rng.lognormvariate(6.2, spread)))) for _ in range(20_000)))
+        assert len([k for k in histogram if k > packing.CAPACITY * packing.LARGE[0]]) > packing.GROUPS
+        bound = math.ceil(sum(k * n for k, n in histogram.items()) / packing.CAPACITY)
+        assert bound <= check_plan(histogram, packing.CAPACITY) <= bound + bound // 1000 + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=6), st.sampled_from(["ELİ.", "İ!", "Σας,", "don't", "ﬁn.", "ÀB;", "e\u0301.", "x\u0307:", " ", "\n", "a.b", "\u0085", "\ufeff.", "word.", "K.", "ß,"])), max_size=8))
+def test_word_ids_are_the_tokenizers(parts):
+    words = packing._word_ids(packing.TOKENIZER)
+    for text in ("".join(parts), " ".join(parts)):
+        assert words.text(text) == np.array(words.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_ids(docs, rows, none):
     from tokenizers import Tokenizer
     import public_tokenizers
