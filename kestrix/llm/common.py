@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(run, clear=lambda: None):
+    """run, a function of Arrow batches, that gives its memory back to the system when a task ends.
+
+    Python workers are kept for later stages; what one holds on to is missing
+    there.  clear empties the worker's own caches.
+    """
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

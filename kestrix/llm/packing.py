@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 CAPACITY = 2048
 #: Lengths over this share of the capacity are large: the shares that are tried.
@@ -35,8 +35,8 @@ GROUPS, COLUMNS = 24, 200
 #: Parts a length is dealt into while documents are ranked.
 SALTS = 64
 TOKENIZER = "word_bpe_49k.json"
-#: Words each Python worker remembers the ids of.
-CACHE = 1_000_000
+#: Words a task remembers the ids of, some 200 bytes each.
+CACHE = 500_000
 
 
 def _knapsack(sizes: list[int], values: np.ndarray, limit: list[int], capacity: int) -> tuple[float, list[int]]:
@@ -298,7 +298,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZ
                     ids.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: _word_ids(tokenizer).known.clear()), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -335,7 +335,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence = table[at, 3] + rank - table[at, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-2]), pa.array(sequence), pa.array(table[at, 4])], names)
 
-    return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"{fields}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, shuffle_partitions
+from .common import components, cut, shuffle_partitions, tidy
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
 #: Ring segments as (low bit, width).
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((fingerprint(t, width) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,7 +172,7 @@ def links(classes: DataFrame) -> DataFrame:
         if rows:
             yield out(held)
 
-    return keyed.mapInArrow(run, "a long, b long")
+    return keyed.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:

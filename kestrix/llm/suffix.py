@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, tidy
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes before an anchor that one of its windows can have
@@ -56,6 +56,9 @@ class _Hasher:
     """Hashes of all strings of a fixed length in a byte array, by prefix sums modulo 2^64."""
 
     def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
         self.up = self.down = np.empty(0, _U)
 
     def __call__(self, s: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
@@ -75,6 +78,10 @@ class _Hasher:
 _hash = _Hasher()
 
 
+def _forget() -> None:
+    _hash.clear()
+
+
 def anchors(s: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchor position, its hash, and first and last window start of every anchor.
 
@@ -387,15 +394,15 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z], ["id", "no", "z"])
 
     # columns that can't be null leave both joins the same plan below, so one exchange of the texts serves both
-    texts = rows.mapInArrow(packed, "id long not null, no int not null, z binary not null").repartition(parts, "id", "no")
-    found = rows.mapInArrow(_anchor_rows, "h long, id long, no int, pos int, span int").repartition(many, "h")
-    found = found.mapInArrow(_repeated_rows, "id long not null, no int not null, pos int, span int, hot boolean")
+    texts = rows.mapInArrow(tidy(packed), "id long not null, no int not null, z binary not null").repartition(parts, "id", "no")
+    found = rows.mapInArrow(tidy(_anchor_rows, _forget), "h long, id long, no int, pos int, span int").repartition(many, "h")
+    found = found.mapInArrow(tidy(_repeated_rows), "id long not null, no int not null, pos int, span int, hot boolean")
     wanted = found.groupBy("id", "no").agg(F.collect_list(F.struct("pos", "span", "hot")).alias("c"))
-    near = texts.join(wanted.hint("shuffle_hash"), ["id", "no"]).select("id", "no", "z", "c").mapInArrow(_suffix_rows, SUFFIX)
+    near = texts.join(wanted.hint("shuffle_hash"), ["id", "no"]).select("id", "no", "z", "c").mapInArrow(tidy(_suffix_rows), SUFFIX)
     own = F.substring(F.col("near"), F.shiftright("span", 8) + 1, F.lit(16))
     lead = F.coalesce(own, F.unhex(F.md5(F.col("id").cast("string").cast("binary"))))  # findings only pass through
     buckets = near.repartitionByRange(parts, lead).sortWithinPartitions(lead)
-    spans = buckets.mapInArrow(_span_rows, "id long not null, no int not null, start int, end int")
+    spans = buckets.mapInArrow(tidy(_span_rows), "id long not null, no int not null, start int, end int")
     spans = spans.groupBy("id", "no").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return texts.join(spans.hint("shuffle_hash"), ["id", "no"], "left").select("id", "no", "z", "spans")
 
@@ -420,7 +427,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return repeats(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    return repeats(docs).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
 
 
 def whole_characters(text: bytes, lo: int, hi: int) -> tuple[int, int]:
@@ -455,7 +462,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 texts.append(b"".join([*kept, text[at:]]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column(1), pa.array(texts, pa.string())], ["__id", "__no", "__text"])
 
-    clean = repeats(docs).mapInArrow(run, "__id long, __no int, __text string")
+    clean = repeats(docs).mapInArrow(tidy(run), "__id long, __no int, __text string")
     other = [c for c in docs.columns if c != "text"]
     rest = numbered(docs).select(*other, ID, NO, F.col("text").isNull().alias("__null"))
     joined = rest.join(clean, (F.col(ID) == F.col("__id")) & (F.col(NO) == F.col("__no")))
