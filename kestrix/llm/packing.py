@@ -211,7 +211,10 @@ def _grouped(histogram: dict[int, int], capacity: int, share: float) -> tuple[li
     return bins.places, bins.next
 
 
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[{_LATIN}]+")
+#: Letters and ASCII marks after them, which the pre-tokenizer takes apart there.
+_MARKED = re.compile(rf"([{_LATIN}]+)([!-/:-@\[-`{{-~]+)")
 
 
 class WordIds:
@@ -220,14 +223,16 @@ class WordIds:
     The vocabulary's pre-tokenizer never joins characters across white space,
     so a text's ids are the concatenation of its words' ids.  Texts with rarer
     white space or control characters, and words that are not plain Latin
-    letters with one mark after them, go through the tokenizer itself: lower
-    case makes letters and marks of some other letters, which join the mark.
+    letters with ASCII marks after them, go through the tokenizer itself: lower
+    case makes letters and marks of some other letters, which join the marks.
     """
 
     def __init__(self, path: str, size: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.full, self.size = Tokenizer.from_file(path), size
         self.known: dict[str, bytes] = {}
         self.model = self.full.model
@@ -237,17 +242,11 @@ class WordIds:
         found = self.known.get(w)
         if found is not None:
             return found
-        mark = w[-1]
-        if mark in ".,!?;:" and len(w) > 1 and _PLAIN.fullmatch(w, 0, len(w) - 1):
-            ids = self.word(w[:-1]) + self.word(mark)
-            if len(self.known) < self.size:
-                self.known[w] = ids
-            return ids
-        low = w.lower() if w.isascii() else w
-        if low != w and w.isalpha():
-            ids = self.word(low)
-        elif w.isascii() and w.isalpha():
-            ids = np.array([t.id for t in self.model.tokenize(w)], "<u4").tobytes()
+        if _PLAIN.fullmatch(w):
+            low = w.lower()
+            ids = self.word(low) if low != w else np.array([t.id for t in self.model.tokenize(w.translate(self.bytes))], "<u4").tobytes()
+        elif parts := _MARKED.fullmatch(w):
+            ids = self.word(parts[1]) + self.word(parts[2])
         else:
             ids = np.array(self.full.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) < self.size:
