@@ -244,6 +244,63 @@ def test_html_marked_paragraphs_end():
             assert html_text.main_text(f"<article><p {mark}>By X{end}<ul><li>{text}</ul><p>{text}</article>") == f"{text}\n\n{text}"
 
 
+TEXT = LONG.strip()
+
+
+@pytest.mark.parametrize("page", [
+    f'<body class="single no-sidebar"><nav>x</nav><article><p>{TEXT}<p>{TEXT}</article></body>', f'<body class="search-page"><div><p>{TEXT}<p>{TEXT}</div></body>',
+    f'<html class="comments-open"><article><p>{TEXT}<p>{TEXT}</article>', f'<article class="post related"><p>{TEXT}</p><p>{TEXT}</p></article>',
+    f'<div class="post author-smith"><p>{TEXT}<p>{TEXT}</div><footer>{TEXT * 5}</footer>', f'<form id="login"><h1></h1><p>{TEXT}<p>{TEXT}</form>',
+    f"<article><p title='a > b'>{TEXT}<p>{TEXT}</article>", f'<article><p title="x > {"y" * 9000}">{TEXT}</p><p data-x=\'"\'>{TEXT}</article>',
+    f"<article><p class='ad'>Buy now<p>{TEXT}<p>{TEXT}</article>", f"<article><ul><li class=share>Buy now<li>{TEXT}<li>{TEXT}</ul></article>",
+    f"<article><table><tr><td class=ad>Buy<td>{TEXT}<tr><td>{TEXT}</table><dl><dt hidden>x<dd class=promo>y</dl></article>",
+    f"<div data-class=ad><p>{TEXT}<p>{TEXT}</div><div class=comments><article><p>{TEXT}</article></div>",
+    "<article>" + "<p class=x>" * 3000 + f"<p>{TEXT}</p></article><article><p>{TEXT}</article><p>Short outside.",
+    f"<article><svg><svg></svg><p>no</svg><p>{TEXT}<button>b</button><select><option>one<option>two</select><p>{TEXT}</article>",
+])
+def test_html_marks_and_tags(page):
+    assert html_text.main_text(page) == f"{TEXT}\n\n{TEXT}"
+
+
+def test_html_blocks_are_decided_by_their_text():
+    def labels(*texts, linked=0, article=False):
+        return [b.label for b in html_text.classify([html_text.Block(t, linked, article=article) for t in texts])]
+
+    dense, middling, low = TEXT * 2, "The report of the year: " + "figures numbers tables charts " * 3, "Alpha beta gamma delta epsilon zeta eta theta " * 5
+    assert html_text.density(dense) > 0.28 > html_text.density(middling) > 0.15 > html_text.density(low)
+    assert labels(dense) == ["good"] and labels(low) == ["bad"] and labels("Short.") == ["bad"] and labels(low, article=True) == ["good"]
+    assert labels(dense, middling, low) == ["good", "good", "bad"] and labels(low, middling, low) == ["bad"] * 3
+    assert labels(dense, "Short.", dense, low, "Short.", low) == ["good", "good", "good", "bad", "bad", "bad"]
+    assert labels(dense, linked=len(dense)) == ["bad"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["good", "bad", "frame", "short", "near"]), max_size=14), st.integers(0, 1 << 14))
+def test_html_nearest_neighbours(kinds, headings):
+    """Against a search outward from every block."""
+    found = [html_text.Block("x" * 80, heading=bool(headings >> i & 1), label="bad" if k == "frame" else k) for i, k in enumerate(kinds)]
+    decided = [k if k in ("good", "bad") else None for k in kinds]
+    want = []
+    for i, (k, b) in enumerate(zip(kinds, found)):
+        if k in ("good", "bad", "frame"):
+            want.append(b.label)
+            continue
+        left, right = ([(abs(j - i), decided[j]) for j in side if decided[j]] for side in (range(i - 1, -1, -1), range(i + 1, len(kinds))))
+        near = [side[0] for side in (left, right) if side]
+        names = {x for _, x in near}
+        if not names:
+            want.append("good" if k == "near" else "bad")
+        elif len(names) == 1:
+            want.append(names.pop())
+        elif b.heading:
+            want.append(near[1][1])
+        elif near[0][0] != near[1][0]:
+            want.append(min(near)[1])
+        else:
+            want.append("good" if k == "near" else "bad")
+    assert html_text.inherited(decided, found, False) == want
+
+
 # quality --------------------------------------------------------------------------------------------
 
 def counts(t):
