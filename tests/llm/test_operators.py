@@ -169,7 +169,8 @@ CONVERSATIONS = [
 ]
 
 
-@pytest.mark.parametrize("budget,history", [(120, 30), (1024, 256)])
+# a budget is in bytes, the bound of tokens: 480 and 120 are what 120 and 30 were in words
+@pytest.mark.parametrize("budget,history", [(120, 30), (480, 120), (1024, 256)])
 def test_chat_round_trip(spark, budget, history):
     turns = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash"))
     windows = chat.format_chats(turns, budget, history).cache()
@@ -187,7 +188,7 @@ def test_chat_round_trip(spark, budget, history):
     rows = windows.collect()
     for r in rows:
         assert r["text"].count("[INST]") == r["text"].count("</s>") == r["text"].count("[/INST]")  # texts hold no control string
-    if budget == 120:
+    if budget == 480:
         many = [r for r in rows if r["conv_id"] == 2]
         assert len(many) > 3 and any(r["n_repeated"] for r in many)
         assert all(r["text"].startswith("<s>[INST]system[/INST]") for r in rows if r["conv_id"] == 1)
@@ -195,6 +196,69 @@ def test_chat_round_trip(spark, budget, history):
     assert chat.read_back(chat.format_chats(empty)).count() == 0
 
 
+def chat_turns(rng, n, first=0):
+    """Conversations of all lengths: of one block, of several, with null and negative turns, long system turns."""
+    out = []
+    for c in range(n):
+        turns = rng.sample(range(-70, 400), rng.choice([1, 3, 9, 150])) if c % 3 else list(range(rng.choice([2, 30, 130])))
+        if c % 4 == 0:
+            out.append((first + c, min(turns), "system", prose(rng, rng.choice([1, 20, 40]))))
+            turns.remove(min(turns))
+        out += [(first + c, t, rng.choice(["user", "assistant", "tool"]), prose(rng, rng.randint(0, 12), rng.choice(["en", "fr", "de"])) + rng.choice(["", " </s>", "[INST]", "\u0958\u0130\u0344" * 3])) for t in turns]
+        if c % 5 == 0:
+            out += [(first + c, None, "user", f"null {i}") for i in range(c % 7)]
+    return out
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_chat_windows_keep_the_budget(spark, monkeypatch, wide):
+    """Every window against a reconstruction from the ordered turns, and the tokenizer's count against the budget."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    monkeypatch.setattr(chat, "BROADCAST_BLOCKS", 100 if wide else 0)
+    tk, rng = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), random.Random(3)
+    budget, history = 700, 150
+    turns = chat_turns(rng, 24)
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    ties = {(r["conv_id"], r["turn"], r["role"], r["text"]): r["h"] for r in table.withColumn("h", F.shiftrightunsigned(F.xxhash64("role", "text"), 1)).collect()}
+    by = collections.defaultdict(list)
+    for c, t, r, x in sorted(turns, key=lambda v: (v[0], v[1] is not None, v[1] or 0, ties[v])):
+        by[c].append((r, x))
+    windows = collections.defaultdict(list)
+    for w in sorted(chat.format_chats(table, budget, history).collect(), key=lambda w: (w["conv_id"], tuple(w["window"]))):
+        windows[w["conv_id"]].append(w)
+    plain = lambda t: re.sub(r"([<\[])\\(\\*)(/?(?:s>|INST\]))", r"\1\2\3", t)
+    assert set(windows) == set(by)
+    for c, ws in windows.items():
+        has_system, at = by[c][0][0] == "system", 0
+        for k, w in enumerate(ws):
+            said = [tuple(map(plain, t[6:].split("[/INST]", 1))) for t in w["text"][3:].split("</s>")[:-1]]
+            cost = lambda t: len(f"[INST][/INST]</s>{t}".encode()) + 40
+            new, old = said[w["n_repeated"] :], said[: w["n_repeated"]]
+            assert new == by[c][at : at + len(new)]
+            if has_system and k:
+                assert old[0] == by[c][0]
+                old = old[1:]
+            assert old == by[c][at - len(old) : at] and sum(len(f"[INST]{r}[/INST]{x}</s>".encode()) for r, x in old) <= history
+            at += len(new)
+            shown = [plain(w["text"][s["start"] : s["start"] + s["length"]]) for s in w["loss"]]
+            assert shown == [x for r, x in new if r == "assistant"]
+            system_and_one = len(f"{by[c][0][1]}".encode()) * has_system + max(len(x.encode()) for _, x in new) + 250
+            assert len(tk.encode(w["text"], add_special_tokens=False).ids) <= budget or len(new) == 1 and system_and_one > budget
+        assert at == len(by[c])
+    assert any(w["n_repeated"] > 1 for ws in windows.values() for w in ws) and any(len(ws) > 9 for ws in windows.values())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=30))
+def test_chat_tokens_are_bounded(text):
+    """The bytes and what is added for letters that grow, in Python; Spark's count is the same expression."""
+    words = packing._word_ids(packing.TOKENIZER)
+    grown = len(re.findall("[\u0130\u023A\u023E\u0300-\u036F\u0900-\u0FFF\u2ADC\uFB1D-\uFB4F\U0001D100-\U0001D1FF]", text))
+    assert len(words.full.encode(text, add_special_tokens=False).ids) <= len(text.encode("utf-8", "replace")) + chat.MORE * grown
+
+
 # html ---------------------------------------------------------------------------------------------
 
 LONG = "This is the text of the article and it is about all of the things that we have seen in the town, with the people who were there and what they said of it to us. "
