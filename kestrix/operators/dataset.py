@@ -11,8 +11,8 @@ DEFAULT_OFFSET, DEFAULT_WEIGHT = 0.0, 1.0
 RESERVED = ("uid", "response", "offset", "weight", "metadataMap")
 
 
-def examples(df: DataFrame, features: str, tags: tuple[str, ...] = (), response_required: bool = True, names: dict[str, str] | None = None) -> DataFrame:
-    """uid, label, offset, weight, features and one string column per id tag.
+def examples(df: DataFrame, features: str | tuple[str, ...], tags: tuple[str, ...] = (), response_required: bool = True, names: dict[str, str] | None = None) -> DataFrame:
+    """uid, label, offset, weight, features (or each of several vectors by its own name) and one string column per id tag.
 
     Absent or null offsets are 0 and weights 1; without a response the label is
     NaN unless it is required.  A tag is a column, else an entry of the
@@ -27,7 +27,7 @@ def examples(df: DataFrame, features: str, tags: tuple[str, ...] = (), response_
     number = lambda c, default: F.coalesce(F.col(c).cast("double"), F.lit(default)) if c in has else F.lit(default)
     return df.select(
         F.col(n["uid"]), number(n["response"], float("nan")).alias("label"), number(n["offset"], DEFAULT_OFFSET).alias("offset"),
-        number(n["weight"], DEFAULT_WEIGHT).alias("weight"), F.col(features).alias("features"), *(id_tag(df, t, n["metadataMap"]).alias(t) for t in tags),
+        number(n["weight"], DEFAULT_WEIGHT).alias("weight"), *([F.col(features).alias("features")] if isinstance(features, str) else map(F.col, features)), *(id_tag(df, t, n["metadataMap"]).alias(t) for t in tags),
     )
 
 

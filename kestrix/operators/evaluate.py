@@ -48,7 +48,7 @@ class Evaluator:
         return a > b if self.base in ("AUC", "AUPR", "PRECISION") else a < b
 
 
-#: Parts of the range of scores whose running sums are taken side by side.
+#: Parts of about equal numbers of scores whose running sums are taken side by side.
 BUCKETS = 64
 
 
@@ -60,11 +60,9 @@ def _curve(df: DataFrame) -> DataFrame:
     """
     positive = (F.col("label") > POSITIVE).cast("long")
     by = df.groupBy("score").agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
-    low, high = df.agg(F.min("score"), F.max("score")).first()
-    even = low is not None and math.isfinite(high - low) and high > low
-    # equal parts of the range; how scores spread over them changes only how evenly the work does
-    bucket = F.floor((F.col("score") - low) * (BUCKETS / (high - low))).cast("int") if even else F.lit(0)
-    by = by.withColumn("b", bucket)
+    # approximate quantiles: how scores spread over them changes only how evenly the work does
+    splits = sorted({s for s in df.agg(F.percentile_approx("score", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or () if not math.isnan(s)})
+    by = by.withColumn("b", sum(((F.col("score") > s).cast("int") for s in splits), F.lit(0)))
     down = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     totals = by.groupBy("b").agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
     before = totals.select("b", F.coalesce(F.sum("tp").over(down), F.lit(0)).alias("bp"), F.coalesce(F.sum("tq").over(down), F.lit(0)).alias("bq"))

@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrix.functions.features import VECTOR
 from kestrix.functions.losses import TASKS, mean
 from kestrix.functions.optim import Result, minimise
 
@@ -27,8 +26,6 @@ from .objective import Distributed, Local, Penalty, Sparse, variances
 COEFFICIENTS = "array<struct<idx:int,mean:double,variance:double>>"
 #: Rows of an entity beyond which it is trained over the cluster and not in one task.
 HOT_ROWS = 500_000
-#: Entities of that kind; each takes its own jobs.
-MAX_HOT = 1000
 
 
 @dataclass
@@ -182,9 +179,10 @@ class RandomCoordinate:
         old = prior or before
         models = none if old is None else old.table.select(F.col(old.entity).cast("string").alias("entity"), "coefficients")
         schema = f"entity string, coefficients {COEFFICIENTS}, reason string, iterations int"
-        hot = [r[0] for r in active.groupBy("entity").count().where(F.col("count") > HOT_ROWS).limit(MAX_HOT).collect()]
-        cold = active.where(~F.col("entity").isin(hot)) if hot else active
-        cold_models = models.where(~F.col("entity").isin(hot)) if hot else models
+        # there is one of these for each HOT_ROWS rows at most; each takes its own jobs
+        hot = sorted(r[0] for r in active.groupBy("entity").count().where((F.col("count") > HOT_ROWS) & F.col("entity").isNotNull()).collect())
+        is_cold = ~F.coalesce(F.col("entity").isin(hot), F.lit(False))
+        cold, cold_models = (active.where(is_cold), models.where(is_cold)) if hot else (active, models)
         trained = cold.groupBy("entity").cogroup(cold_models.groupBy("entity")).applyInArrow(lambda left, right: solver.group(left, right), schema)
         for e in hot:
             rows = models.where(F.col("entity") == e).collect()
@@ -377,7 +375,3 @@ def regularization_path(df: DataFrame, config: Coordinate, task: str, weights: l
         before = c.train(df, F.col("offset"), before)
         out.append((w, before, c.result))
     return out
-
-
-def empty_vector() -> Column:
-    return F.array().cast(VECTOR)

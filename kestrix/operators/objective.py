@@ -7,7 +7,7 @@ its place.  Data stay as they are; normalization is folded into coefficients.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,10 @@ from kestrix.functions.losses import Loss
 
 from .normalize import Normalization
 
-#: Partial sums above which they are added on executors before the driver.
-PARTIALS = 64
+#: Partial sums above which they are added on executors before the driver, and entries of a vector that are added together.
+PARTIALS, CHUNK = 64, 1 << 16
+#: Entries of the dense rows that a Gram matrix is made of at a time.
+DENSE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -77,9 +79,13 @@ class Sparse:
         return np.bincount(self.col, self.val**2 * d[self.row], size)
 
     def gram(self, d: np.ndarray, size: int) -> np.ndarray:
-        x = np.zeros((self.n, size))
-        np.add.at(x, (self.row, self.col), self.val)
-        return x.T @ (d[:, None] * x)
+        out, step = np.zeros((size, size)), max(1, DENSE // max(size, 1))
+        for at in range(0, self.n, step):
+            a, b = np.searchsorted(self.row, [at, at + step])
+            x = np.zeros((min(step, self.n - at), size))
+            np.add.at(x, (self.row[a:b] - at, self.col[a:b]), self.val[a:b])
+            out += x.T @ (d[at : at + step, None] * x)
+        return out
 
 
 class Local:
@@ -119,13 +125,15 @@ class Distributed:
     """Objective over a DataFrame (label, offset, weight, features), kept in memory by the caller.
 
     An evaluation sends the coefficients with the tasks and brings back one
-    vector a partition; with many partitions executors add them first.
+    vector a partition.  With many partitions executors add them first, chunk
+    by chunk of the vector, in as many levels as leave at most PARTIALS at one
+    place: a task holds two chunks, whatever the number of partitions.
     """
 
     def __init__(self, loss: Loss, data: DataFrame, size: int, penalty: Penalty = Penalty(), norm: Normalization = Normalization()):
         self.loss, self.size, self.penalty, self.norm = loss, size, penalty, norm
         self.data = data.select("label", "offset", "weight", "features")
-        self.many = self.data.rdd.getNumPartitions() > PARTIALS
+        self.partitions = self.data.rdd.getNumPartitions()
 
     def _sum(self, part) -> np.ndarray:
         """Sum over the data of part(x, y, offset, weight), a vector."""
@@ -138,17 +146,26 @@ class Distributed:
                     now = part(Sparse.from_arrow(b.column(3)), y, offset, weight)
                     total = now if total is None else total + now
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["v"])
+                for c, at in enumerate(range(0, len(total), CHUNK)):
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total[at : at + CHUNK].astype("<f8").tobytes()], pa.binary())], ["c", "v"])
 
-        def add(t: pa.Table) -> pa.Table:
-            v = sum(np.frombuffer(x, "<f8") for x in t.column("v").to_pylist())
-            return pa.table({"v": pa.array([v.tobytes()], pa.binary())})
-
-        sums = self.data.mapInArrow(run, "v binary")
-        if self.many:
-            sums = sums.withColumn("g", F.spark_partition_id() % 16).groupBy("g").applyInArrow(add, "v binary")
-        found = [np.frombuffer(r["v"], "<f8") for r in sums.collect()]
-        return np.sum(found, axis=0) if found else np.zeros(1)
+        def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v = None
+            for b in batches:
+                for x in b.column("v"):
+                    now = np.frombuffer(x.as_buffer(), "<f8")
+                    v = now.copy() if v is None else np.add(v, now, out=v)
+            yield pa.RecordBatch.from_arrays([pa.array([key[-1].as_py()], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["c", "v"])
+
+        sums, n = self.data.mapInArrow(run, "c int, v binary"), self.partitions
+        while n > PARTIALS:
+            n = -(-n // PARTIALS)
+            sums = sums.withColumn("g", F.spark_partition_id() % n).groupBy("g", "c").applyInArrow(add, "c int, v binary")
+        found: dict[int, np.ndarray] = {}
+        for r in sums.collect():
+            now = np.frombuffer(r["v"], "<f8")
+            found[r["c"]] = now if r["c"] not in found else found[r["c"]] + now
+        return np.concatenate([found[c] for c in sorted(found)]) if found else np.zeros(1)
 
     def value_gradient(self, b: np.ndarray) -> tuple[float, np.ndarray]:
         (e, c), loss, size = self.norm.effective(b), self.loss, self.size
@@ -202,7 +219,3 @@ def variances(objective, raw: np.ndarray, kind: str) -> np.ndarray | None:
 def penalty_term(b: np.ndarray, l1: float, l2: float) -> float:
     """Reported value of the penalty: the intercept counts here."""
     return l1 * float(np.abs(b).sum()) + l2 / 2 * float(b @ b)
-
-
-def with_l2(penalty: Penalty, l2: float) -> Penalty:
-    return replace(penalty, l2=l2)

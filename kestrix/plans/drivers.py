@@ -89,11 +89,7 @@ def vocabulary_indexes(spark: SparkSession, path: str, shards: list[Shard]) -> d
 
 def _prepare(data: DataFrame, shards: list[Shard], tags: tuple[str, ...], indexes, response_required: bool, response: str):
     out, indexes = readers.read_merged(data, shards, indexes)
-    names = [s.name for s in shards]
-    base = dataset.examples(out, names[0], tags, response_required, {"response": response})
-    rest = out.select(F.col("uid").alias("__uid"), *(F.col(n) for n in names))
-    joined = base.drop("features").join(rest, F.col("uid") == F.col("__uid")).drop("__uid")
-    return joined, indexes
+    return dataset.examples(out, tuple(s.name for s in shards), tags, response_required, {"response": response}), indexes
 
 
 def train(

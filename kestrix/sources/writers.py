@@ -116,9 +116,15 @@ def save_model(spark: SparkSession, model: MixedModel, path: str, indexes: dict[
     write_strings(spark, f"{path}/{SPEC}", [f"{k}: {configs[k] if configs and k in configs else ''}" for k in order])
 
 
+def load_metadata(spark: SparkSession, path: str) -> tuple[str, dict[str, Coordinate]]:
+    """The task of a saved model and the configurations of its coordinates."""
+    meta = json.loads(get_text(spark, f"{path}/{METADATA}"))
+    return meta["modelType"], {k: Coordinate.parse(c) for k, c in meta["coordinates"].items()}
+
+
 def load_model(spark: SparkSession, path: str, indexes: dict[str, DataFrame], coordinates: list[str] | None = None) -> MixedModel:
     """The inverse; features that an index lacks are dropped.  coordinates names those to load."""
-    task = json.loads(get_text(spark, f"{path}/{METADATA}"))["modelType"]
+    task = load_metadata(spark, path)[0]
     model = MixedModel(task)
     for kind in (FIXED, RANDOM):
         for name in children(spark, f"{path}/{kind}"):
@@ -132,10 +138,9 @@ def load_model(spark: SparkSession, path: str, indexes: dict[str, DataFrame], co
             if name in model.models:
                 raise ValueError(f"two coordinates are named {name}")
             rows = spark.read.parquet(f"{at}/{COEFFICIENTS}")
-            long = rows.select("modelId", "lossFunction", F.explode("means").alias("f"), "variances").select(
-                "modelId", "lossFunction", F.concat("f.name", F.lit(SEPARATOR), "f.term").alias("key"), F.col("f.value").alias("mean"),
-                F.get(F.filter("variances", lambda v: (v["name"] == F.col("f.name")) & (v["term"] == F.col("f.term"))), 0)["value"].alias("variance"),
-            ).join(indexes[shard], "key")
+            of = lambda c: rows.select("modelId", F.explode(c).alias("f")).select("modelId", F.concat("f.name", F.lit(SEPARATOR), "f.term").alias("key"), F.col("f.value").alias(c))
+            both = of("means").join(of("variances"), ["modelId", "key"], "left")
+            long = both.select("modelId", "key", F.col("means").alias("mean"), F.col("variances").alias("variance")).join(indexes[shard], "key")
             if kind == FIXED:
                 got = long.toPandas()
                 size = indexes[shard].agg(F.max("idx")).first()[0] + 1
@@ -145,7 +150,7 @@ def load_model(spark: SparkSession, path: str, indexes: dict[str, DataFrame], co
             else:
                 table = long.groupBy(F.col("modelId").alias(info[0])).agg(F.sort_array(F.collect_list(F.struct("idx", "mean", "variance"))).alias("coefficients"))
                 model.models[name] = RandomModel(shard, info[0], table)
-            if (other := rows.where(F.col("lossFunction") != task).limit(1).count()) and other:
+            if not rows.where(F.col("lossFunction") != task).isEmpty():
                 raise ValueError(f"models of {name} are for another task than {task}")
     return model
 
