@@ -40,6 +40,20 @@ def dense(*columns: str) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("idx"), F.col(c).cast("double").alias("val")) for i, c in enumerate(columns)))
 
 
+def almost_zero(c: Column) -> Column:
+    return F.abs(c) < EPSILON
+
+
+def compared(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: which is larger, with what differs by less than EPSILON taken as equal."""
+    return F.when(almost_zero(a - b), 0).when(a < b, -1).otherwise(1)
+
+
+def symmetric_difference(a: Column, b: Column) -> Column:
+    """Elements of one array but not of both, each once."""
+    return F.array_union(F.array_except(a, b), F.array_except(b, a))
+
+
 @dataclass(frozen=True)
 class DateRange:
     """Inclusive range of days; ``yyyyMMdd-yyyyMMdd``, or ``start-end`` in days ago."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import json
+import math
 import re
 from dataclasses import dataclass, field, replace
 
@@ -142,3 +144,39 @@ def _only(d: dict[str, str], known: set[str]) -> None:
 def grid(coordinates: list[Coordinate]) -> list[dict[str, Coordinate]]:
     """Every combination of the coordinates' weights."""
     return [{c.name: c for c in combo} for combo in itertools.product(*(c.expanded() for c in coordinates))]
+
+
+#: Stands for any name or any term in box constraints.
+WILDCARD = "*"
+
+
+def box_constraints(text: str, index: list[tuple[str, int]], intercept: int | None = None) -> dict[int, tuple[float, float]]:
+    """Bounds by feature index from JSON: [{"name": .., "term": .., "lowerBound": .., "upperBound": ..}].
+
+    index lists (key, idx).  A term, or name and term, may be ``*``: it bounds
+    every matching feature but the intercept.  A bound may be left out, but not
+    both.  A feature bounded twice, and a wildcard for all beside any other
+    entry, are errors; features that the index lacks are passed over.
+    """
+    from kestrix.functions.features import SEPARATOR
+
+    names = [(*k.partition(SEPARATOR)[::2], i) for k, i in index]
+    out: dict[int, tuple[float, float]] = {}
+    entries = json.loads(text)
+    for e in entries:
+        if "name" not in e or "term" not in e:
+            raise ValueError(f"a constraint needs a name and a term: {e}")
+        low, high = float(e.get("lowerBound", -math.inf)), float(e.get("upperBound", math.inf))
+        if low == -math.inf and high == math.inf:
+            raise ValueError(f"a constraint needs a bound: {e}")
+        if low > high:
+            raise ValueError(f"the lower bound exceeds the upper: {e}")
+        if e["name"] == WILDCARD and (e["term"] != WILDCARD or len(entries) > 1):
+            raise ValueError("a wildcard name needs a wildcard term and stands alone")
+        for name, term, i in names:
+            wild = WILDCARD in (e["name"], e["term"])
+            if e["name"] in (WILDCARD, name) and e["term"] in (WILDCARD, term) and not (wild and i == intercept):
+                if i in out:
+                    raise ValueError(f"two constraints for {name!r}, {term!r}")
+                out[i] = (low, high)
+    return out

@@ -158,3 +158,51 @@ def select_features(scores: DataFrame, entity: str, ratio: float) -> DataFrame:
     """(entity, idx) of the ceil(ratio * rows) features of largest absolute correlation, all if there are fewer."""
     rank = F.row_number().over(Window.partitionBy(entity).orderBy(F.abs("correlation").desc(), "idx"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= F.ceil(F.lit(ratio) * F.col("n"))).select(entity, "idx")
+
+
+def fixed_summary(df: DataFrame, features: str = "features") -> DataFrame:
+    """One row: rows, weight_sum, label_sum, and mean, population deviation, least and most of the features stored in a row."""
+    n = F.size(features).cast("double")
+    return df.agg(
+        F.count("*").alias("rows"), F.sum("weight").alias("weight_sum"), F.sum("label").alias("label_sum"),
+        F.avg(n).alias("mean_features"), F.stddev_pop(n).alias("stddev_features"), F.min(n).alias("min_features"), F.max(n).alias("max_features"),
+    )
+
+
+def entity_counts(df: DataFrame, entity: str) -> DataFrame:
+    """(entity, n): rows of each entity."""
+    return df.groupBy(entity).agg(F.count("*").alias("n"))
+
+
+def random_summary(rows: DataFrame, entity: str) -> DataFrame:
+    """One row of active_passive's result: active and passive rows, sums over active ones, and active rows by entity."""
+    per = rows.groupBy(entity).agg(
+        F.sum(F.col("active").cast("long")).alias("a"), F.sum((~F.col("active")).cast("long")).alias("p"),
+        F.sum(F.when(F.col("active"), F.col("weight"))).alias("w"), F.sum(F.when(F.col("active"), F.col("label"))).alias("y"),
+    )
+    return per.agg(
+        F.sum("a").alias("active"), F.sum("p").alias("passive"), F.count("*").alias("entities"), F.sum("w").alias("weight_sum"), F.sum("y").alias("label_sum"),
+        F.avg("a").alias("mean_active"), F.stddev_pop("a").alias("stddev_active"), F.min("a").alias("min_active"), F.max("a").alias("max_active"),
+    )
+
+
+def feature_sets(df: DataFrame, entity: str, features: str = "features") -> DataFrame:
+    """(entity, idx): features with a nonzero value in some row of the entity."""
+    return df.select(entity, F.explode(F.filter(features, lambda x: x["val"] != 0)).alias("x")).select(entity, F.col("x.idx").alias("idx")).distinct()
+
+
+def id_map(rows: DataFrame, entity: str, uid: str = "uid") -> DataFrame:
+    """(uid, entity) of active rows."""
+    return rows.where("active").select(uid, F.col(entity).cast("string").alias(entity))
+
+
+def sampler(task: str, rate: float, seed: int = 1234567890, key: Column | None = None):
+    """The down-sampler of a task: negatives only for binary ones, else all rows; a rate of 1 samples nothing."""
+    if rate == 1:
+        return lambda df: df
+    return lambda df: down_sample(df, rate, task, seed, key)
+
+
+def kept_features(vector: Column, kept: Column) -> Column:
+    """A sparse vector without the features that an array of indices lacks."""
+    return F.filter(vector, lambda x: F.array_contains(kept, x["idx"]))

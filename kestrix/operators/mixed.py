@@ -168,7 +168,7 @@ class RandomCoordinate:
         kept = dataset.select_features(dataset.feature_scores(out.where("active"), c.entity, c.shard), c.entity, c.features_ratio)
         sets = kept.groupBy(c.entity).agg(F.collect_set("idx").alias("__set")).withColumnRenamed(c.entity, "__set_entity")
         joined = out.join(sets, F.col(c.entity) == F.col("__set_entity"), "left")
-        return joined.withColumn("__kept", F.filter(c.shard, lambda x: F.array_contains("__set", x["idx"]))).drop("__set", "__set_entity")
+        return joined.withColumn("__kept", dataset.kept_features(F.col(c.shard), F.col("__set"))).drop("__set", "__set_entity")
 
     def train(self, df: DataFrame, offset: Column, before: RandomModel | None = None, prior: RandomModel | None = None) -> RandomModel:
         """Models of entities with active rows; entities that only an earlier model has keep theirs."""

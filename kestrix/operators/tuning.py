@@ -122,14 +122,17 @@ class GaussianProcess:
         theta = np.array([spread, 1e-4 if not noisy else 0.01 * spread, *np.ones(self.x.shape[1])])
         kernel = Kernel(kind=kind)
 
+        def of(t):
+            return kernel.with_parameters(t if noisy else np.array([t[0], 1e-4, *t[2:]]))
+
         def density(t):
-            return kernel.with_parameters(t if noisy else np.array([t[0], 1e-4, *t[2:]])).log_likelihood(self.x, self.y)
+            return of(t).log_likelihood(self.x, self.y)
 
         self.kernels = []
         for i in range(burn_in + samples):
             theta = slice_sample(density, theta, rng)
             if i >= burn_in:
-                self.kernels.append(kernel.with_parameters(theta))
+                self.kernels.append(of(theta))
 
     def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean and variance, averaged over the kernels."""

@@ -8,11 +8,11 @@ sides because sums are added in another order.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrix.functions import losses
-from kestrix.operators import dataset, evaluate, indexing, mixed, normalize
+from kestrix.operators import dataset, evaluate, indexing, mixed, normalize, scores
 from kestrix.operators.config import Coordinate
 
 QUERIES = {}
@@ -146,9 +146,12 @@ for _name, (_y, _v, _d, _dd) in _LOSS_SQL.items():
         + ", ".join(f"round(sum(weight * g * {x}) / count(*), 7) AS g{i}" for i, x in enumerate(FEATURES)) + " FROM d",
     )
     def _value_gradient(spark, sf_dir, loss=_loss, y=_y):
-        w, z, label = F.col("weight"), F.col("score"), F.col(y)
-        d = _scored(spark, sf_dir).select(*FEATURES, (w * loss.value(z, label)).alias("v"), (w * loss.first(z, label)).alias("g"))
-        return d.agg(F.round(F.sum("v") / F.count("*"), 7).alias("value"), *(F.round(F.sum(F.col("g") * F.col(x)) / F.count("*"), 7).alias(f"g{i}") for i, x in enumerate(FEATURES)))
+        from kestrix.operators.objective import Distributed
+
+        d = _vectors(spark, sf_dir, y)
+        n = d.count()
+        value, gradient = Distributed(loss, d, 5).value_gradient(np.array(BETA))
+        return _round(spark.createDataFrame([(value / n, *map(float, gradient / n))], "value double, " + ", ".join(f"g{i} double" for i in range(5))), 7)
 
 
 for _task, _sql in (("LOGISTIC_REGRESSION", "1 / (1 + exp(-score))"), ("POISSON_REGRESSION", "exp(score)")):
@@ -168,13 +171,19 @@ def classify_threshold(spark, sf_dir):
 _CURVED = f"{_SCORED}, d AS (SELECT *, weight * {_LOSS_SQL['logistic'][3]} AS c FROM s)"
 
 
-def _curved(spark, sf_dir):
-    return _scored(spark, sf_dir).withColumn("c", F.col("weight") * losses.LOGISTIC.second(F.col("score"), F.col("label")))
+def _hessian(spark, sf_dir, names, of):
+    """A row of values of an objective's second derivatives over the number of rows."""
+    from kestrix.operators.objective import Distributed
+
+    d = _vectors(spark, sf_dir)
+    n = d.count()
+    found = [float(v) / n for v in of(Distributed(losses.LOGISTIC, d, 5))]
+    return _round(spark.createDataFrame([tuple(found)], ", ".join(f"{x} double" for x in names)), 7)
 
 
 @query("hessian_diagonal", f"{_CURVED} SELECT " + ", ".join(f"round(sum(c * {x} * {x}) / count(*), 7) AS h{i}" for i, x in enumerate(FEATURES)) + " FROM d")
 def hessian_diagonal(spark, sf_dir):
-    return _curved(spark, sf_dir).agg(*(F.round(F.sum(F.col("c") * F.col(x) * F.col(x)) / F.count("*"), 7).alias(f"h{i}") for i, x in enumerate(FEATURES)))
+    return _hessian(spark, sf_dir, [f"h{i}" for i in range(5)], lambda o: o.hessian_diagonal(np.array(BETA)))
 
 
 _PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
@@ -182,7 +191,7 @@ _PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
 
 @query("hessian_matrix", f"{_CURVED} SELECT " + ", ".join(f"round(sum(c * x{i} * x{j}) / count(*), 7) AS h{i}{j}" for i, j in _PAIRS) + " FROM d")
 def hessian_matrix(spark, sf_dir):
-    return _curved(spark, sf_dir).agg(*(F.round(F.sum(F.col("c") * F.col(f"x{i}") * F.col(f"x{j}")) / F.count("*"), 7).alias(f"h{i}{j}") for i, j in _PAIRS))
+    return _hessian(spark, sf_dir, [f"h{i}{j}" for i, j in _PAIRS], lambda o: (lambda h: [h[i, j] for i, j in _PAIRS])(o.hessian_matrix(np.array(BETA))))
 
 
 _XD = " + ".join(f"{v} * {x}" for x, v in zip(FEATURES, DIRECTION))
@@ -190,8 +199,7 @@ _XD = " + ".join(f"{v} * {x}" for x, v in zip(FEATURES, DIRECTION))
 
 @query("hessian_vector", f"{_CURVED} SELECT " + ", ".join(f"round(sum(c * ({_XD}) * {x}) / count(*), 7) AS h{i}" for i, x in enumerate(FEATURES)) + " FROM d")
 def hessian_vector(spark, sf_dir):
-    d = _curved(spark, sf_dir).withColumn("p", F.col("c") * sum((F.col(x) * v for x, v in zip(FEATURES, DIRECTION)), F.lit(0.0)))
-    return d.agg(*(F.round(F.sum(F.col("p") * F.col(x)) / F.count("*"), 7).alias(f"h{i}") for i, x in enumerate(FEATURES)))
+    return _hessian(spark, sf_dir, [f"h{i}" for i in range(5)], lambda o: o.hessian_vector(np.array(BETA), np.array(DIRECTION)))
 
 
 @query("penalty_terms", f"SELECT {sum(abs(b) for b in BETA) * 0.75!r}::DOUBLE AS l1, {sum(b * b for b in BETA[:4]) * 0.125!r}::DOUBLE AS l2, {sum((b - 0.1) ** 2 / 0.5 for b in BETA) / 2!r}::DOUBLE AS prior", False)
@@ -289,7 +297,7 @@ def coef_to_original_space(spark, sf_dir):
 
 @query("entity_counts", "SELECT supplier, count(*) AS n FROM ex GROUP BY supplier")
 def entity_counts(spark, sf_dir):
-    return examples(spark, sf_dir).groupBy("supplier").agg(F.count("*").alias("n"))
+    return dataset.entity_counts(examples(spark, sf_dir), "supplier")
 
 
 _RANKED = "WITH r AS (SELECT *, count(*) OVER (PARTITION BY supplier) AS n, row_number() OVER (PARTITION BY supplier ORDER BY md5('s#' || uid) DESC, uid) AS r FROM ex)"
@@ -318,7 +326,7 @@ def active_lower_bound(spark, sf_dir):
 
 @query("active_feature_sets", "WITH l AS (" + " UNION ALL ".join(f"SELECT supplier, {i} AS idx FROM ex WHERE {x} <> 0" for i, x in enumerate(FEATURES)) + ") SELECT DISTINCT supplier, CAST(idx AS INTEGER) AS idx FROM l")
 def active_feature_sets(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("supplier", F.explode("features.idx").alias("idx")).distinct()
+    return dataset.feature_sets(_vectors(spark, sf_dir), "supplier")
 
 
 _CORR = "WITH l AS (" + " UNION ALL ".join(f"SELECT supplier, label, {i} AS idx, {x} AS v FROM ex" for i, x in enumerate(FEATURES)) + "), c AS (SELECT supplier, idx, count(*) AS n, CASE WHEN idx = 4 THEN 1.0 ELSE coalesce(corr(v, label), 0) END AS r FROM l GROUP BY supplier, idx)"
@@ -381,9 +389,9 @@ def score_sum(spark, sf_dir):
 @query("scores_plus_minus", "WITH a AS (SELECT uid, x0 AS s FROM ex WHERE supplier % 3 <> 0), b AS (SELECT uid, x2 AS s FROM ex WHERE supplier % 3 <> 1) SELECT uid, round(coalesce(a.s, 0) + coalesce(b.s, 0), 7) AS plus, round(coalesce(a.s, 0) - coalesce(b.s, 0), 7) AS minus FROM a FULL JOIN b USING (uid)")
 def scores_plus_minus(spark, sf_dir):
     d = examples(spark, sf_dir)
-    a, b = d.where("supplier % 3 <> 0").select("uid", F.col("x0").alias("a")), d.where("supplier % 3 <> 1").select("uid", F.col("x2").alias("b"))
-    x, y = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
-    return a.join(b, "uid", "full").select("uid", F.round(x + y, 7).alias("plus"), F.round(x - y, 7).alias("minus"))
+    a, b = d.where("supplier % 3 <> 0").select("uid", F.col("x0").alias("score")), d.where("supplier % 3 <> 1").select("uid", F.col("x2").alias("score"))
+    both = scores.plus(a, b).withColumnRenamed("score", "plus").join(scores.minus(a, b).withColumnRenamed("score", "minus"), "uid")
+    return both.select("uid", F.round("plus", 7).alias("plus"), F.round("minus", 7).alias("minus"))
 
 
 @query("offsets_with_residuals", f'{_RE} SELECT uid, round("offset" + coalesce(bias, 0), 9) AS "offset" FROM ex LEFT JOIN m USING (supplier)')
@@ -608,19 +616,15 @@ for _mode in ("RANDOM", "BAYESIAN"):
 @query("training_summary", 'SELECT count(*) AS rows, round(sum(weight), 4) AS weight_sum, round(sum(label), 4) AS label_sum, round(avg(CAST((x0 <> 0)::INT + (x1 <> 0)::INT + (x2 <> 0)::INT + (x3 <> 0)::INT + 1 AS DOUBLE)), 7) AS mean_features FROM ex')
 def training_summary(spark, sf_dir):
     d = _vectors(spark, sf_dir)
-    return d.agg(F.count("*").alias("rows"), F.round(F.sum("weight"), 4).alias("weight_sum"), F.round(F.sum("label"), 4).alias("label_sum"), F.round(F.avg(F.size("features").cast("double")), 7).alias("mean_features"))
-
-
-@query("date_range_scan", "SELECT event_id, user_id FROM events WHERE CAST(ts AS DATE) BETWEEN (SELECT CAST(min(ts) AS DATE) FROM events) AND (SELECT CAST(min(ts) AS DATE) + 1 FROM events)", False)
-def date_range_scan(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    start = e.agg(F.to_date(F.min("ts"))).first()[0]
-    day = F.to_date("ts")
-    return e.where(day.between(F.lit(start), F.date_add(F.lit(start), 1))).select("event_id", "user_id")
+    return dataset.fixed_summary(d).select("rows", F.round("weight_sum", 4).alias("weight_sum"), F.round("label_sum", 4).alias("label_sum"), F.round("mean_features", 7).alias("mean_features"))
 
 
 @query("coefficients_by_size", "SELECT CAST(i AS INTEGER) AS idx, b AS value, CAST(row_number() OVER (ORDER BY abs(b) DESC) AS INTEGER) AS rank FROM (VALUES " + ", ".join(f"({i}, {b}::DOUBLE)" for i, b in enumerate(BETA)) + ") AS t(i, b) WHERE abs(b) > 0.15", False)
-def coefficients_by_size(spark, sf_dir):
+def sized_coefficients(spark, sf_dir):
+    from kestrix.sources.writers import coefficients_by_size
+
     d = spark.createDataFrame([(i, b) for i, b in enumerate(BETA)], "idx int, value double")
-    kept = d.where(F.abs("value") > 0.15)
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("value").desc())).cast("int"))
+    return coefficients_by_size(d, 0.15)
+
+
+from . import catalog_jobs  # noqa: E402, F401  registers its queries here

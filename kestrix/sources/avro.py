@@ -1,7 +1,8 @@
 """Avro container files without an Avro package: a Python data source and a writer.
 
 Schemas of records of primitives, arrays, maps, nested records and unions with
-null are read; codecs null and deflate.  A file is one input partition.
+null are read; codecs null and deflate.  Files are read in splits at their
+sync marks.
 
     spark.dataSource.register(AvroSource)
     spark.read.format("kestrix-avro").load(folder)
@@ -12,12 +13,14 @@ from __future__ import annotations
 import json
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
-from io import BytesIO
+from io import BufferedReader, BytesIO
 
+import pyarrow.fs as pafs
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 MAGIC = b"Obj\x01"
 _PRIMITIVES = {"int": T.IntegerType, "long": T.LongType, "float": T.FloatType, "double": T.DoubleType, "string": T.StringType, "boolean": T.BooleanType, "bytes": T.BinaryType}
@@ -176,25 +179,53 @@ def _header(f) -> tuple[Schema, str, bytes]:
     return Schema(meta["avro.schema"].decode()), meta.get("avro.codec", b"null").decode(), f.read(16)
 
 
-def read_file(path: str) -> Iterator[tuple]:
-    """Records of one file."""
-    with open(path, "rb") as f:
-        schema, codec, _ = _header(f)
-        while f.peek(1):
-            n, size = _long(f), None
-            size = _long(f)
-            raw = f.read(size)
+#: Bytes of a file that one task reads at most, up to the end of the block they end in.
+SPLIT = 64 << 20
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path or address and the place in it; paths without a scheme are local."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def _opened(path: str):
+    fs, at = _store(path)
+    return BufferedReader(fs.open_input_file(at), 1 << 20)
+
+
+def read_file(path: str, start: int = 0, stop: int | None = None) -> Iterator[tuple]:
+    """Records of the blocks of one file that begin in [start, stop): after the first sync mark from start on."""
+    with _opened(path) as f:
+        schema, codec, sync = _header(f)
+        if start > f.tell():
+            f.seek(start - 16)  # the mark before a block that begins at start
+            if not _skip_past(f, sync):
+                return
+        while (stop is None or f.tell() < stop) and f.peek(1):
+            n = _long(f)
+            raw = f.read(_long(f))
             f.read(16)
             block = BytesIO(zlib.decompress(raw, -15) if codec == "deflate" else raw)
             for _ in range(n):
                 yield schema.read(block)
 
 
+def _skip_past(f, mark: bytes) -> bool:
+    tail = b""
+    while part := f.read(1 << 16):
+        at = (tail + part).find(mark)
+        if at >= 0:
+            f.seek(at + len(mark) - len(tail) - len(part), 1)
+            return True
+        tail = (tail + part)[-len(mark) + 1 :]
+    return False
+
+
 def write_file(path: str, schema: str | dict, records, codec: str = "deflate", block: int = 4096) -> None:
     """One file, written beside its place and then moved there."""
     s, sync = Schema(schema), os.urandom(16)
-    tmp = f"{path}.tmp"
-    with open(tmp, "wb") as f:
+    fs, at = _store(path)
+    with fs.open_output_stream(f"{at}.tmp") as f:
         meta = {"avro.schema": json.dumps(s.root).encode(), "avro.codec": codec.encode()}
         f.write(MAGIC + _put_long(len(meta)) + b"".join(_put_long(len(k)) + k.encode() + _put_long(len(v)) + v for k, v in meta.items()) + b"\x00" + sync)
         part: list[bytes] = []
@@ -213,39 +244,101 @@ def write_file(path: str, schema: str | dict, records, codec: str = "deflate", b
             if len(part) >= block:
                 flush()
         flush()
-    os.replace(tmp, path)
+    fs.move(f"{at}.tmp", at)
+
+
+def files(path: str) -> list[tuple[str, int]]:
+    """Data files at or under a path, with their sizes, as addresses that read_file takes."""
+    fs, at = _store(path)
+    info = fs.get_file_info(at)
+    if info.type == pafs.FileType.File:
+        return [(path, info.size)]
+    found = fs.get_file_info(pafs.FileSelector(at))
+    names = sorted((f.base_name, f.size) for f in found if f.base_name.endswith(".avro") and not f.base_name.startswith(("_", ".")))
+    return [(f"{path.rstrip('/')}/{n}", size) for n, size in names]
+
+
+def schema_of(kind: T.DataType, name: str = "Record") -> dict | list | str:
+    """The Avro schema of a Spark type; every field may be null."""
+    simple = {v: k for k, v in _PRIMITIVES.items()}
+    if type(kind) in simple:
+        return simple[type(kind)]
+    if isinstance(kind, T.StructType):
+        return {"type": "record", "name": name, "fields": [{"name": f.name, "type": ["null", schema_of(f.dataType, f"{name}_{f.name}")]} for f in kind.fields]}
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": ["null", schema_of(kind.elementType, f"{name}_item")]}
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        return {"type": "map", "values": ["null", schema_of(kind.valueType, f"{name}_value")]}
+    raise ValueError(f"no Avro type for {kind.simpleString()}")
 
 
-def files(path: str) -> list[str]:
-    if os.path.isfile(path):
-        return [path]
-    return sorted(os.path.join(path, n) for n in os.listdir(path) if n.endswith(".avro") and not n.startswith(("_", ".")))
+class AvroSource(DataSource):
+    """Reads files and folders in splits; writes a folder with a file a task.
 
+    Places are local paths or addresses of stores that Arrow opens (hdfs://,
+    s3://, gs://, file://).
+    """
 
-class AvroSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "kestrix-avro"
 
     def schema(self) -> T.StructType:
-        with open(files(self.options["path"])[0], "rb") as f:
+        found = files(self.options["path"])
+        if not found:
+            raise FileNotFoundError(f"no Avro files at {self.options['path']}")
+        with _opened(found[0][0]) as f:
             return _header(f)[0].spark()
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("split", SPLIT)))
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"], schema_of(schema), overwrite)
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, start: int, stop: int):
+        self.path, self.start, self.stop = path, start, stop
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.paths = files(path)
+    def __init__(self, path: str, split: int):
+        self.found, self.split = files(path), split
 
     def partitions(self):
-        return [_Part(p) for p in self.paths]
+        return [_Part(p, at, min(at + self.split, size)) for p, size in self.found for at in range(0, size, self.split)]
 
     def read(self, partition):
-        yield from read_file(partition.path)
+        yield from read_file(partition.path, partition.start, partition.stop)
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class _Writer(DataSourceWriter):
+    """Every attempt of a task writes a file of its own name, hidden until the job commits."""
+
+    def __init__(self, path: str, schema: dict, overwrite: bool):
+        self.path, self.schema = path.rstrip("/"), schema
+        fs, at = _store(self.path)
+        if overwrite and fs.get_file_info(at).type == pafs.FileType.Directory:
+            fs.delete_dir_contents(at)
+        fs.create_dir(at, recursive=True)
+
+    def write(self, iterator) -> WriterCommitMessage:
+        place = f"{self.path}/_part-{uuid.uuid4().hex}.avro"
+        write_file(place, self.schema, iterator)
+        return _Written(place)
+
+    def commit(self, messages) -> None:
+        for m in filter(None, messages):
+            fs, at = _store(m.path)
+            fs.move(at, at.replace("/_part-", "/part-"))
+
+    def abort(self, messages) -> None:
+        for m in filter(None, messages):
+            fs, at = _store(m.path)
+            fs.delete_file(at)

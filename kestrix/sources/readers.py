@@ -97,3 +97,28 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def libsvm_records(spark: SparkSession, path: str, real_label: bool = False) -> DataFrame:
+    """Training records (uid, label, features named by their index with an empty term) of LibSVM text; real_label keeps the number."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().cast("string").alias("uid"), F.split(F.trim("value"), "\\s+").alias("p"))
+    label = F.col("p")[0].cast("double")
+    named = F.transform(F.filter(F.slice("p", 2, 1 << 30), lambda x: ~x.startswith("#")), lambda x: F.struct(F.split(x, ":")[0].alias("name"), F.lit("").alias("term"), number(F.split(x, ":")[1]).alias("value")))
+    return lines.select("uid", (label if real_label else F.when(label > 0, 1.0).otherwise(0.0)).alias("label"), named.alias("features"))
+
+
+def input_format(name: str, dimension: int = 0, dialect: str = "TRAINING_EXAMPLE"):
+    """A reader (spark, path) of legacy training data: LIBSVM, which needs a dimension, or records of named features."""
+    if name == "LIBSVM":
+        if dimension <= 0:
+            raise ValueError("LIBSVM needs a positive feature dimension")
+        return lambda spark, path: read_libsvm(spark, path, dimension)
+    if name == "AVRO":
+        from .avro import AvroSource
+
+        def records(spark: SparkSession, path: str) -> DataFrame:
+            spark.dataSource.register(AvroSource)
+            return read_training_records(spark.read.format(AvroSource.name()).load(path), dialect)
+
+        return records
+    raise ValueError(f"no input format {name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrix.functions.features import INTERCEPT, SEPARATOR, name_of, term_of
@@ -83,6 +83,12 @@ def write_training(df: DataFrame, path: str, index: DataFrame, response: str = "
     base.join(named_features(df, index, features), "uid", "left").write.mode("overwrite" if overwrite else "errorifexists").format(fmt).save(path)
 
 
+def coefficients_by_size(df: DataFrame, threshold: float, *keys: str) -> DataFrame:
+    """(keys, idx, value, rank) of coefficients larger than threshold, ranked by size within keys; ties by idx."""
+    order = Window.partitionBy(*(keys or (F.lit(0),))).orderBy(F.abs("value").desc(), "idx")
+    return df.where(F.abs("value") > threshold).withColumn("rank", F.row_number().over(order))
+
+
 def _named(df: DataFrame, index: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """One record per model: means and variances by name, larger than threshold, largest first."""
     kept = df.join(index, "idx").select(*keys, name_of(F.col("key")).alias("name"), term_of(F.col("key")).alias("term"), "mean", "variance")
