@@ -13,8 +13,8 @@ from .common import components, cut
 from .simhash import roots_of
 
 THRESHOLD = 0.93
-#: Vectors of a block; a task compares two blocks, a tile product has TILE rows.
-BLOCK, TILE = 2048, 512
+#: Vectors of a block at most, and values; a task compares two blocks, a tile product has TILE rows.
+BLOCK, BLOCK_VALUES, TILE = 16_384, 1 << 21, 512
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,13 +74,18 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes are compared block by block: a label's classes are cut into blocks
     by a hash, each pair of blocks is a group of its own, and its result is a
     row per class with the number of links and the class that roots it, not the
-    pairs.  Repeated rows of one vec_id are vectors of their own and share a
-    component.  An empty table gives no rows.
+    pairs.  Repeated rows of one vec_id are vectors of their own; a null vec_id
+    is no smallest one, and is kept.  An empty table gives no rows.
+
+    A label of n classes in b blocks sends each class b times and multiplies
+    n * n / 2 codes: both grow with the square of a label's distinct vectors,
+    the first divided by BLOCK.
     """
     rows = _classes(vectors)
     valid = rows.where("valid").withColumn("dim", F.size("embedding"))
-    classes = cut(valid.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # a class is known by a number of its own, fixed by the checkpoint; its smallest vec_id may be null or another's too
+    classes = cut(valid.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("m")).withColumn("rep", F.monotonically_increasing_id()))
+    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") * F.greatest(F.lit(1 / BLOCK), F.col("dim") / BLOCK_VALUES)).cast("int").alias("blocks"))
     blocked = classes.join(sizes, ["label", "dim"]).withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = blocked.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("label", "dim", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x", "rep", "m", "embedding")
@@ -104,8 +109,10 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     linked = cut(spread.groupBy("label", "dim", "lo", "hi").applyInPandas(compare, "rep long, n long, root long"))
     counted = linked.groupBy("rep").agg(F.sum("n").alias("n"))
     found = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.join(counted, "rep", "left").join(found, F.col("rep") == F.col("node"), "left").select(
-        F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "rep").alias("component"),
+    placed = classes.join(counted, "rep", "left").join(found, F.col("rep") == F.col("node"), "left").withColumn("of", F.coalesce("component", "rep"))
+    lows = placed.groupBy("of").agg(F.min("low").alias("component_low"))
+    named = placed.join(lows, "of").select(
+        F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"), F.col("component_low").alias("component"),
     )
     out = rows.join(named, F.col("valid") & (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding")), "left")
     return out.select(
