@@ -1,15 +1,18 @@
 """SimHash near-duplicates with pigeonring candidate filtering.
 
-Fingerprints are cut into five ring-shaped segments.  If two of them differ in
+Fingerprints are cut into six ring-shaped segments.  If two of them differ in
 at most four bits, some segment starts a chain in which the first l segments
-together differ in at most l * 4 / 5 bits, for every l (the pigeonring
-principle).  The first link of such a chain is an equal segment, so equal
-segments bring candidates together; each further link must keep its budget
-before the full Hamming distance, the last link, is taken.
+together differ in at most l * 4 / 6 bits, for every l (the pigeonring
+principle).  The first link of such a chain is an equal segment, and at least
+one more segment is equal, so pairs of equal segments bring candidates
+together: keys of 20 to 22 bits, of which a bucket holds few fingerprints.  A
+chain that starts at one of the two must keep the budget of every link before
+the full Hamming distance, the last link, is taken.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,11 @@ from .common import components, cut, shuffle_partitions, tidy
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
 #: Ring segments as (low bit, width).
-SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Pairs of segments; of a pair within DISTANCE bits at least len(SEGMENTS) - DISTANCE segments are equal.
+PAIRS = tuple(itertools.combinations(range(len(SEGMENTS)), 2))
+#: Large buckets whose table is broadcast; with more of them it is joined by a shuffle.
+BROADCAST_BUCKETS = 100_000
 #: Fingerprints of one bucket that are compared in one go; larger buckets are cut into blocks of about this many.
 BLOCK = 4096
 #: Links held before they are reduced to a spanning forest.
@@ -86,36 +93,39 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _chained(x: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    """Which XORs of pairs pass every link of the chain that starts at their segment, total distance last."""
-    m = len(SEGMENTS)
+def _chained(x: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Which XORs pass every link of a chain that starts at either segment of their pair, total distance last."""
+    m, starts, passed = len(SEGMENTS), np.array(PAIRS), np.zeros(len(x), bool)
     parts = np.stack([np.bitwise_count((x >> np.uint64(lo)) & np.uint64((1 << w) - 1)) for lo, w in SEGMENTS]).astype(np.int64)
-    alive, total = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for link in range(m):
-        total = total + parts[(segment[alive] + link) % m, alive]
-        ok = total * m <= DISTANCE * (link + 1)
-        alive, total = alive[ok], total[ok]
-    return alive
+    for side in (0, 1):
+        alive = np.flatnonzero(~passed)
+        first, total = starts[pair[alive], side], np.zeros(len(alive), np.int64)
+        for link in range(m):
+            total = total + parts[(first + link) % m, alive]
+            ok = total * m <= DISTANCE * (link + 1)
+            alive, first, total = alive[ok], first[ok], total[ok]
+        passed[alive] = True
+    return np.flatnonzero(passed)
 
 
 def _bucket_links(key, side, fp, rep) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links inside each run of equal keys.
 
-    key: (segment, value, block pair) as one integer; rows are sorted by it.
+    key: (pair of segments, value, block pair) as one integer; rows are sorted by it.
     side: 0 if the bucket's pairs are all wanted, else 1 or 2, and only pairs
     of different sides are.
     """
     n = len(key)
     ends = np.searchsorted(key, key, "right")
     live, a, b, size = np.arange(n), [], [], 0
-    segment = key >> np.int64(58)
+    pair = key >> np.int64(58)
     lag = 1
     while len(live := live[ends[live] > live + lag]):
         i, j = live, live + lag
         if side.any():
             want = (side[i] == 0) | (side[i] != side[j])
             i, j = i[want], j[want]
-        ok = _chained(fp[i] ^ fp[j], segment[i])
+        ok = _chained(fp[i] ^ fp[j], pair[i])
         a.append(i[ok])
         b.append(j[ok])
         size += len(ok)
@@ -134,22 +144,24 @@ def _bucket_links(key, side, fp, rep) -> tuple[np.ndarray, np.ndarray]:
 def links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between the representatives of classes (fp, rep): a forest of each bucket.
 
-    A bucket is a segment with a value.  Large buckets are cut into blocks by a
-    hash and every pair of blocks is a task's own key, so no key exceeds two
-    blocks; the table of bucket sizes has at most 5 * 2^13 rows.
+    A bucket is a pair of segments with their values.  Large buckets are cut
+    into blocks by a hash and every pair of blocks is a task's own key, so no
+    key exceeds two blocks.
     """
     spark = classes.sparkSession
-    value = lambda lo, w: F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND(F.lit((1 << w) - 1))
-    rows = classes.select("fp", "rep", F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("s"), value(lo, w).alias("v")) for i, (lo, w) in enumerate(SEGMENTS)))).alias("k"))
-    rows = rows.select("fp", "rep", F.col("k.s").alias("s"), F.col("k.v").alias("v"))
-    sizes = rows.groupBy("s", "v").agg(F.count("*").alias("n")).where("n > 1").select("s", "v", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(sizes), ["s", "v"])
+    part = lambda i: F.shiftrightunsigned(F.col("fp"), SEGMENTS[i][0]).bitwiseAND(F.lit((1 << SEGMENTS[i][1]) - 1))
+    value = lambda a, b: F.shiftleft(part(a), SEGMENTS[b][1]).bitwiseOR(part(b))
+    # 4 bits pair, 22 values, 18 and 18 for the blocks
+    bucket = [F.shiftleft(value(a, b), 36).bitwiseOR(F.lit(i << 58)) for i, (a, b) in enumerate(PAIRS)]
+    keyed = classes.select("fp", "rep", F.explode(F.array(*bucket)).alias("k"))
+    sizes = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("k").alias("s_k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_BUCKETS else sizes
+    rows = keyed.join(sizes, F.col("k") == F.col("s_k"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("fp", "rep", "s", "v", block.alias("x"), other.alias("y"))
+    rows = rows.select("fp", "rep", "k", block.alias("x"), other.alias("y"))
     lo, hi = F.least("x", "y").cast("long"), F.greatest("x", "y").cast("long")
-    # 3 bits segment, 13 value, 20 and 20 for the blocks
-    key = F.shiftleft(F.col("s"), 58).bitwiseOR(F.shiftleft(F.col("v"), 40)).bitwiseOR(F.shiftleft(lo, 20)).bitwiseOR(hi)
+    key = F.col("k").bitwiseOR(F.shiftleft(lo, 18)).bitwiseOR(hi)
     side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2).cast("int")
     keyed = rows.select(key.alias("key"), side.alias("side"), "fp", "rep").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "fp")
 
