@@ -22,8 +22,8 @@ FIT_ROWS = 4000
 MAX_LANGUAGES = 500
 BUCKETS = 1 << 16
 ROUNDS, SMOOTH = 12, 0.5
-#: Code points inferred in one go; a longer text is one batch of its own, counted in slices.
-CHUNK = 400_000
+#: Code points counted in one go, for up to FEW languages and fewer for more; longer texts are counted in slices.
+CHUNK, FEW = 400_000, 8
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,15 +43,21 @@ def _grams(points: np.ndarray) -> np.ndarray:
     return np.stack([mix(one, 1), mix(two, 2), mix(three, 3)])
 
 
-def _folded(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, each run of what is no letter a single space."""
-    s = " " + text.lower() + " "
-    p = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTER[np.minimum(p, len(_LETTER) - 1)]
-    p = np.where(letter, p, 32)
-    keep = np.ones(len(p), bool)
-    keep[1:] = letter[1:] | letter[:-1]
-    return p[keep]
+def _folded(text: str) -> Iterator[np.ndarray]:
+    """Code points of the lower-cased text, each run of what is no letter a single space, in slices of about CHUNK."""
+    last = False  # whether the last code point was a letter; the text begins after a space
+    yield np.array([32], np.uint32)
+    for at in range(0, len(text), CHUNK):
+        p = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _LETTER[np.minimum(p, len(_LETTER) - 1)]
+        p = np.where(letter, p, 32).astype(np.uint32)
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[:1] |= last
+        last = bool(letter[-1]) if len(letter) else last
+        yield p[keep]
+    if last:
+        yield np.array([32], np.uint32)
 
 
 def _letters() -> np.ndarray:
@@ -78,10 +84,23 @@ def counts_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part, size, first = [], 0, last
 
     for i, t in enumerate(texts):
-        part.append(_folded(t))
-        size += len(part[-1])
-        if size > CHUNK:
-            flush(i + 1)
+        if len(t) <= CHUNK:
+            part.append(np.concatenate([*_folded(t)]))
+            size += len(part[-1])
+            if size > CHUNK:
+                flush(i + 1)
+            continue
+        flush(i)
+        total, before = np.zeros(BUCKETS, np.int64), np.empty(0, np.uint32)
+        for p in _folded(t):  # the two code points before a slice begin its n-grams
+            whole = np.concatenate([before, p])
+            total += np.bincount(_grams(whole)[:, len(before) :].ravel(), minlength=BUCKETS)
+            before = whole[-2:]
+        some = np.flatnonzero(total)
+        docs.append(np.full(len(some), i))
+        buckets.append(some)
+        counts.append(total[some])
+        first = i + 1
     flush(len(texts))
     empty = np.empty(0, np.int64)
     return np.concatenate(docs or [empty]), np.concatenate(buckets or [empty]), np.concatenate(counts or [empty])
@@ -137,8 +156,9 @@ def infer(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the strongest language and its proportion, for whole texts."""
     best, share = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     part, size, first = [], 0, 0
+    most = CHUNK * FEW // max(FEW, logp.shape[1])
     for i, t in enumerate([*texts, None]):
-        if t is None or size + len(t) > CHUNK and part:
+        if t is None or size + len(t) > most and part:
             if part:
                 best[first:i], share[first:i] = _infer(part, logp)
             part, size, first = [], 0, i
