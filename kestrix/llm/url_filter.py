@@ -19,7 +19,8 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Production rules: (verdict, rule).  A rule is host and path.
 RULES = (
@@ -31,23 +32,14 @@ RULES = (
 )
 #: Words that block a host when one of its parts between dots and hyphens equals them.
 WORDS = ("casino", "casinos", "phish", "phishing", "pills", "porn", "spam", "viagra", "warez", "xxx")
-#: Entries one digest file may hold: 16 bytes each stay resident, the strings are mapped.
-MAX_ENTRIES = 50_000_000
-_ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_UPPER = "".join(map(chr, range(65, 91)))
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 
 
-def split_url(url: str | None) -> tuple[str, str]:
+def split_url(url: Column) -> tuple[Column, Column]:
     """Host (after the first ``://``, A-Z lower-cased) and path; both empty without ``://``."""
-    if url is None:
-        return "", ""
-    _, mark, rest = url.partition("://")
-    if not mark:
-        return "", ""
-    end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
-    tail = rest[end:]
-    stop = min((i for i in map(tail.find, "?#") if i >= 0), default=len(tail))
-    return rest[:end].translate(_ASCII_LOWER), tail[:stop]
+    parts = lambda i: F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", i), F.lit(""))
+    return F.translate(parts(1), _UPPER, _UPPER.lower()), parts(2)
 
 
 class DigestArray:
@@ -55,9 +47,7 @@ class DigestArray:
 
     @staticmethod
     def write(folder: str, entries: dict[str, int]) -> str:
-        """Write entries to a file named by its content; at most MAX_ENTRIES."""
-        if len(entries) > MAX_ENTRIES:
-            raise ValueError(f"{len(entries)} entries; one digest file holds {MAX_ENTRIES}")
+        """Write entries to a file named by its content: 17 bytes each besides the strings, mapped as they are touched."""
         keyed = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode(), v) for k, v in entries.items())
         keys = np.array([x[0] for x in keyed], np.uint64)
         ends = np.cumsum([0, *(len(x[1]) for x in keyed)]).astype(np.uint64)
@@ -132,7 +122,7 @@ def judge_urls(pages: DataFrame, rules=RULES, words=WORDS, default: str = "allow
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digests = _opened(name)
         for batch in batches:
-            split = [split_url(None if u is None or u != u else u) for u in batch["url"]]
+            split = list(zip(batch["host"], batch["path"]))
             probes, owner, shown = [], [], []
             for i, (host, path) in enumerate(split):
                 for n in host_sizes:
@@ -156,6 +146,7 @@ def judge_urls(pages: DataFrame, rules=RULES, words=WORDS, default: str = "allow
                     owner += [i] * len(parts)
             for k in np.flatnonzero(digests.find(probes) >= 0):
                 verdict[owner[k]] = "block"
-            yield pd.DataFrame({"page_id": batch["page_id"].array, "host": [h for h, _ in split], "path": [p for _, p in split], "rule": pd.Series(rule, dtype=object), "verdict": verdict})
+            yield pd.DataFrame({"page_id": batch["page_id"].array, "host": batch["host"], "path": batch["path"], "rule": pd.Series(rule, dtype=object), "verdict": verdict})
 
-    return pages.select("page_id", "url").mapInPandas(judge, SCHEMA)
+    host, path = split_url(F.col("url").cast("string"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).mapInPandas(judge, SCHEMA)
