@@ -24,11 +24,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with an eager checkpoint in the folder all executors share.
 
     The cluster names that folder in spark.checkpoint.dir; a local run without
-    it gets a temporary one.
+    it gets a temporary one, a cluster without it an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
     return df.checkpoint()
 
 

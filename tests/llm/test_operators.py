@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -506,6 +507,14 @@ def test_embeddings(spark, monkeypatch):
     assert embedding.link_embeddings(df.where("false")).count() == 0
 
 
+def test_embedding_classes_of_one_id(spark):
+    """One vec_id with two vectors counts each class for itself; vectors of null ids link like others."""
+    a, b, c = [1.0, 0.0], [0.99, 0.1], [0.0, 1.0]
+    rows = [(1, a, 1), (2, b, 1), (1, c, 1), (None, c, 1), (None, c, 2), (None, None, 2)]
+    got = collections.Counter(map(tuple, embedding.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == collections.Counter([(1, 1, 1, True), (2, 1, 1, False), (1, 1, 1, True), (None, 1, 1, True), (None, 0, None, True), (None, 0, None, True)])
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 40))
@@ -673,6 +682,23 @@ def test_mix(docs, rows, monkeypatch, none):
     assert collections.Counter((r["doc_id"], r["epoch"]) for r in again) == collections.Counter((r["doc_id"], r["epoch"]) for r in out)
 
 
+def test_mix_of_many_sources(spark, docs, monkeypatch):
+    """The exponent from aggregates equals the driver's, and so does the mixture."""
+    rng = np.random.default_rng(2)
+    for budget, target, limit in ((None, 0.5, 4.0), (3e6, None, 3.0), (None, 0.2, None), (None, 0.5, 1e9)):
+        tokens = np.maximum(1, rng.lognormal(6, 2, 300)).astype(int)
+        budget = float(tokens.sum()) if budget is None else budget
+        exponent, w = mixing.solve(tokens.astype(float), budget, target, limit)
+        got, log_norm, whole = mixing.solve_table(spark.createDataFrame([(int(t),) for t in tokens], "n long"), budget, target, limit)
+        assert abs(got - exponent) < 1e-9 and np.allclose(np.exp(got * np.log(tokens / whole) - log_norm), w, rtol=1e-6)
+    key = lambda r: (r["doc_id"], r["text"], r["epoch"], r["block"])
+    want = collections.Counter(map(key, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 1)
+    assert collections.Counter(map(key, mixing.mix(docs.withColumn("position", F.lit("clash")).withColumn("total", F.lit(1)).withColumn("size", F.lit(2)).withColumn("epoch", F.lit(9))).collect())) == want
+    assert {r["position"] for r in mixing.mix_documents(docs.withColumn("position", F.lit("own"))).collect()} == {"own"}
+    assert mixing.mix(docs.where("false")).count() == 0
+
+
 # language -------------------------------------------------------------------------------------------------
 
 def test_language(docs, rows, none):
@@ -691,6 +717,25 @@ def test_language(docs, rows, none):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+def test_language_sets_are_the_best_of_all(docs):
+    """The chosen set against the likelihood of every set of languages, each fitted for long."""
+    langs, logp = language.fit(docs.select("doc_id", "text", "lang"))
+    rng = random.Random(12)
+    for parts in ((("en", 200),), (("en", 150), ("de", 120)), (("fr", 90), ("en", 200), ("de", 130)), (("de", 30), ("fr", 300))):
+        text = " ".join(prose(rng, n, x) for x, n in parts)
+        _, k, n = language.counts_of([text])
+        best = None
+        for m in range(1, len(langs) + 1):
+            for chosen in itertools.combinations(range(len(langs)), m):
+                like, pi = np.exp(logp[k][:, chosen]), np.full(m, 1 / m)
+                for _ in range(200):
+                    pi = pi * (like * (n / (like @ pi))[:, None]).sum(axis=0) / n.sum()
+                value = (np.log(like @ pi) * n).sum() - 0.5 * np.log(n.sum()) * m
+                best = max(best or (-math.inf,), (value, chosen, float(pi.max()), langs[chosen[int(pi.argmax())]]))
+        found, share = language.infer([text], logp)
+        assert langs[found[0]] == best[3] and abs(share[0] - best[2]) < 0.02 and set(np.array(langs)[list(best[1])]) == {x for x, _ in parts}
+
+
 def test_mixture_proportions(docs):
     langs, logp = language.fit(docs.select("doc_id", "text", "lang"))
     rng = random.Random(6)
