@@ -9,12 +9,18 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier.
 * Sampled splitters range-partition the kept suffixes by their leading 16
   bytes, so suffixes with equal leads never stand on two sides of a boundary
   and neighbours are compared inside their bucket.
-* A bucket is streamed in lead order.  Multikey quicksort, eight bytes a key,
-  first folds suffixes with equal surroundings, then sorts the windows of what
-  is left; of equal windows all but the earliest are repeats.
+* A bucket is streamed in lead order.  A multikey sort, eight bytes a key and
+  only what is still tied at each, first folds suffixes with equal
+  surroundings, then orders the windows of what is left; of equal windows all
+  but the earliest are repeats.
 * Anchors that occur more than HOT times are taken apart into their windows
   where the text is read.  Equal windows are folded there before the shuffle,
   so a passage in a third of all documents sends a row per batch, not per copy.
+  Windows are partitioned and sorted by all their bytes: equal ones are
+  neighbours, and what follows a very common line spreads over all buckets.
+* The very common anchors of a sample of documents are known before the others
+  are grouped.  They take the same way as those found by counting, but are
+  dealt out at random and not by their hash.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +47,10 @@ SLICE = 1 << 21
 #: Suffixes a bucket works on at a time, cut where the lead changes.
 CHUNK = 24_000
 #: Anchors that one task groups, of which each takes some 30 bytes.
-ANCHORS = 2_000_000
+ANCHORS = 1_000_000
+#: One of so many documents is sampled for very common anchors; of those at most COMMON are dealt out at random.
+SAMPLED, COMMON = 64, 65_536
+_DEALT = 1 << 16  # in span: an anchor known to be hot, whose hash is a random number
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -122,33 +132,40 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return s, off - off[0]
 
 
-def _slices(off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(from, to, ends) of byte ranges of about SLICE bytes: whole documents, or overlapping parts of a long one."""
+def _slices(off: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(from, to, ends) of byte ranges of about ``size`` bytes: whole documents, or overlapping parts of a long one."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
-        if j == i + 1 and off[j] - off[i] > SLICE:
-            for at in range(int(off[i]), int(off[j]), SLICE):
-                to = min(at + SLICE + LENGTH - 1, int(off[j]))
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+        if j == i + 1 and off[j] - off[i] > size:
+            for at in range(int(off[i]), int(off[j]), size):
+                to = min(at + size + LENGTH - 1, int(off[j]))
                 yield at, to, np.array([to - at])
         else:
             yield int(off[i]), int(off[j]), off[i + 1 : j + 1] - off[i]
         i = j
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], slice_bytes: int, common=None) -> Iterator[pa.RecordBatch]:
+    """Anchors of texts; common, a broadcast, holds sorted hashes of very common ones."""
+    common = np.empty(0, np.int64) if common is None else common.value
     for b in batches:
         s, off = _binary(b.column(2))
         ids, nos = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for at, to, ends in _slices(off):
+        for at, to, ends in _slices(off, slice_bytes):
             p, h, lo, hi = anchors(s[at:to], ends)
             doc = np.searchsorted(off, p + at, "right") - 1
             pos, span = (p + at - off[doc]).astype(np.int32), ((p - hi) | (p - lo) << 8).astype(np.int32)
+            if len(common) and len(h):
+                known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+                dealt = ((ids[doc].astype(_U) << _U(20)) + pos.astype(_U)) * _U(_BASE)
+                h = np.where(known, dealt.view(np.int64), h)
+                span[known] |= _DEALT
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ids[doc], nos[doc], pos, span)], ["h", "id", "no", "pos", "span"])
 
 
-def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose hash occurs twice or more in the partition; hot ones go out at once."""
+def _repeated_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose hash occurs twice or more in the partition; hot ones, more than ``most`` of a hash, go out at once."""
     names = ["id", "no", "pos", "span", "hot"]
     held, rows, hot = [], 0, np.empty(0, np.int64)
 
@@ -165,6 +182,12 @@ def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for b in batches:
         cols = [c.to_numpy() for c in b.columns]
+        dealt = cols[4] & _DEALT > 0
+        if dealt.any():
+            known = [c[dealt] for c in cols]
+            known[4] = known[4] & ~np.int32(_DEALT)
+            yield from out(known, True)
+            cols = [c[~dealt] for c in cols]
         if len(hot):
             known = np.isin(cols[0], hot)
             yield from out([c[known] for c in cols], True)
@@ -173,22 +196,23 @@ def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows += len(cols[0])
         if rows > 2 * ANCHORS and len(held) > 1:
             cols, n = split([np.concatenate(c) for c in zip(*held)])
-            hot = np.union1d(hot, cols[0][n > HOT])
-            yield from out([c[n > HOT] for c in cols], True)
-            held = [[c[n <= HOT] for c in cols]]
+            hot = np.union1d(hot, cols[0][n > most])
+            yield from out([c[n > most] for c in cols], True)
+            held = [[c[n <= most] for c in cols]]
             rows = len(held[0][0]) // 2  # what stays is looked at again when it has doubled
     if held:
         cols, n = split([np.concatenate(c) for c in zip(*held)])
-        yield from out([c[n > HOT] for c in cols], True)
-        some = (n > 1) & (n <= HOT)
+        yield from out([c[n > most] for c in cols], True)
+        some = (n > 1) & (n <= most)
         yield from out([c[some] for c in cols], False)
 
 
 SUFFIX = "id long, no int, pos int, span int, near binary"
+WINDOW = -1
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The surroundings of candidate suffixes; windows of hot ones, folded by batch.
+    """The surroundings of candidate suffixes; windows of hot ones, with span WINDOW, folded by batch.
 
     A row without surroundings is a finding: bytes pos to span repeat.
     """
@@ -221,7 +245,7 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cold = ~hot
         yield pa.RecordBatch.from_arrays([pa.array(ids[doc[cold]]), pa.array(nos[doc[cold]]), pa.array(pos[cold]), pa.array(span[cold]), pa.array(near, pa.binary())], names)
         if windows:
-            rows = [*((*v, 0, k) for k, v in windows.items()), *((*v, v[2] + LENGTH, None) for v in found)]
+            rows = [*((*v, WINDOW, k) for k, v in windows.items()), *((*v, v[2] + LENGTH, None) for v in found)]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -234,30 +258,26 @@ def _leads(span: np.ndarray, near: pa.Array) -> np.ndarray:
 
 
 def multikey(group: np.ndarray, word, depths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort over items with group numbers, one eight-byte word a level.
+    """Multikey sort of items with group numbers, one eight-byte word a level.
 
-    word(items, depth) gives the items' words.  Only items that are still tied
-    with another are sorted further.  Returns the items tied at every depth
-    and their group numbers, groups together and items of a group in order.
+    word(items, depth) gives the items' words as big-endian numbers, so items
+    stand in the order of group and words.  Only items that are still tied with
+    a neighbour are sorted further.  Returns the items tied at every depth and
+    their group numbers, groups in order and items of a group in order.
     """
     items = np.arange(len(group))
     for depth in [None, *depths]:
-        key = group.astype(_U) if depth is None else word(items, depth)
-        mixed = (key ^ (group.astype(_U) * _U(0xC2B2AE3D27D4EB4F))) * _U(_BASE)
-        order = np.argsort(mixed, kind="stable" if len(mixed) < 64 else None)
-        g, k, x = group[order], key[order], mixed[order]
+        key = group if depth is None else word(items, depth)
+        order = np.argsort(key, kind="stable") if depth is None else np.lexsort((key, group))
+        g, k = group[order], key[order]
         new = np.ones(len(g) + 1, bool)
         new[1:-1] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-        if np.any(new[1:-1] & (x[1:] == x[:-1])):  # two keys mixed to one number: sort by the keys themselves
-            order = np.lexsort((key, group))
-            g, k = group[order], key[order]
-            new[1:-1] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
         tied = ~(new[:-1] & new[1:])
         group = (np.cumsum(new[:-1]) - 1)[tied]
         items = items[order[tied]]
         if not len(items):
             break
-    order = np.lexsort((items, group))
+    order = np.lexsort((items, group))  # ties by place
     return items[order], group[order]
 
 
@@ -309,7 +329,20 @@ def resolve(ids, nos, pos, span, near: pa.Array) -> tuple[np.ndarray, ...]:
     return ids[found[:, 0]], nos[found[:, 0]], found[:, 1], found[:, 2]
 
 
-def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_rows(b: pa.RecordBatch, last: tuple | None) -> tuple[list[tuple], tuple]:
+    """Findings among windows in order of their bytes, and the last window with its earliest place, for the next batch."""
+    found = []
+    ids, nos, pos = (b.column(c).to_pylist() for c in range(3))
+    for i, n, p, w in zip(ids, nos, pos, b.column(4)):
+        now, w = (i, n, p), w.as_buffer().to_pybytes()
+        if last is not None and last[0] == w:
+            now, later = min(last[1], now), max(last[1], now)
+            found.append((*later, later[2] + LENGTH))
+        last = (w, now)
+    return found, last
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     names = ["id", "no", "start", "end"]
 
     def rows(cols) -> pa.RecordBatch:
@@ -320,19 +353,24 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.combine_chunks()
         return rows(resolve(*(t.column(c).to_numpy() for c in range(4)), t.column(4).chunk(0)))
 
-    held, size = [], 0
+    held, size, last = [], 0, None
     for b in batches:
         plain = b.column(4).is_null().to_numpy(zero_copy_only=False)
+        window = ~plain & (b.column(3).to_numpy() == WINDOW)
         if plain.any():
             f = b.filter(pa.array(plain))
             yield rows([f.column(c).to_numpy() for c in range(4)])
-            b = b.filter(pa.array(~plain))
+        if window.any():
+            found, last = _window_rows(b.filter(pa.array(window)), last)
+            if found:
+                yield rows([np.array(c, np.int64) for c in zip(*found)])
+        b = b.filter(pa.array(~plain & ~window))
         while b.num_rows:
-            take = b.slice(0, CHUNK)
-            b = b.slice(CHUNK)
+            take = b.slice(0, chunk)
+            b = b.slice(chunk)
             held.append(take)
             size += take.num_rows
-            if size < CHUNK:
+            if size < chunk:
                 continue
             leads = _leads(take.column(3).to_numpy(), take.column(4))
             other = np.flatnonzero((leads != leads[-1]).any(axis=1))
@@ -374,6 +412,17 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.withColumn(NO, F.row_number().over(order) - 1)
 
 
+ANCHOR = "h long, id long, no int, pos int, span int"
+
+
+def _common(rows: DataFrame):
+    """A broadcast of the sorted hashes of very common anchors of a sample; the sample decides how rows travel, not what is found."""
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("anchors"), "id", "no"), F.lit(SAMPLED)) == 0)
+    counts = sample.mapInArrow(tidy(partial(_anchor_rows, slice_bytes=SLICE), _forget), ANCHOR).groupBy("h").agg(F.count("*").alias("n"))
+    top = counts.where(F.col("n") > max(1, HOT // SAMPLED)).orderBy(F.col("n").desc(), "h").limit(COMMON).collect()
+    return rows.sparkSession.sparkContext.broadcast(np.array(sorted(r["h"] for r in top), np.int64))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, no, text binary, spans) for every row of docs; spans are sorted, disjoint removed runs.
 
@@ -395,14 +444,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     # columns that can't be null leave both joins the same plan below, so one exchange of the texts serves both
     texts = rows.mapInArrow(tidy(packed), "id long not null, no int not null, z binary not null").repartition(parts, "id", "no")
-    found = rows.mapInArrow(tidy(_anchor_rows, _forget), "h long, id long, no int, pos int, span int").repartition(many, "h")
-    found = found.mapInArrow(tidy(_repeated_rows), "id long not null, no int not null, pos int, span int, hot boolean")
+    shared = _common(rows)
+    found = rows.mapInArrow(tidy(partial(_anchor_rows, slice_bytes=SLICE, common=shared), _forget), ANCHOR).repartition(many, "h")
+    found = found.mapInArrow(tidy(partial(_repeated_rows, most=HOT)), "id long not null, no int not null, pos int, span int, hot boolean")
     wanted = found.groupBy("id", "no").agg(F.collect_list(F.struct("pos", "span", "hot")).alias("c"))
     near = texts.join(wanted.hint("shuffle_hash"), ["id", "no"]).select("id", "no", "z", "c").mapInArrow(tidy(_suffix_rows), SUFFIX)
-    own = F.substring(F.col("near"), F.shiftright("span", 8) + 1, F.lit(16))
+    own = F.when(F.col("span") == WINDOW, F.col("near")).otherwise(F.substring(F.col("near"), F.shiftright("span", 8) + 1, F.lit(16)))
     lead = F.coalesce(own, F.unhex(F.md5(F.col("id").cast("string").cast("binary"))))  # findings only pass through
     buckets = near.repartitionByRange(parts, lead).sortWithinPartitions(lead)
-    spans = buckets.mapInArrow(tidy(_span_rows), "id long not null, no int not null, start int, end int")
+    spans = buckets.mapInArrow(tidy(partial(_span_rows, chunk=CHUNK)), "id long not null, no int not null, start int, end int")
     spans = spans.groupBy("id", "no").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return texts.join(spans.hint("shuffle_hash"), ["id", "no"], "left").select("id", "no", "z", "spans")
 

@@ -464,6 +464,30 @@ def test_suffix(docs, rows, hot, monkeypatch, none):
     assert suffix.dedup_substrings(none).count() == 0
 
 
+@pytest.mark.parametrize("sampled", [1, 2, 1000])
+def test_suffix_common_lines(spark, monkeypatch, sampled):
+    """A very common line, alone and inside texts, with all, some or none of its anchors known from the sample."""
+    monkeypatch.setattr(suffix, "HOT", 6)
+    monkeypatch.setattr(suffix, "SAMPLED", sampled)
+    rng = random.Random(21)
+    line = prose(rng, 60)
+    texts = [f"{prose(rng, rng.randint(0, 9))} {line} {prose(rng, rng.randint(0, 30))}" for _ in range(60)] + [f"{line} {line}", line, line[:150], line[50:170]] + [prose(rng, 40) for _ in range(9)]
+    texts += [f"{line[-99:]}{k % 3} {prose(rng, 3)}" for k in range(30)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want = collections.Counter((k, *r) for k, r in enumerate(brute_suffix([t.encode() for t in texts])))
+    assert collections.Counter(tuple(r)[:5] for r in suffix.dedup_substrings(df).collect()) == want
+
+
+def test_multikey_order():
+    """Groups in order of their words, against Python's sort."""
+    rng = np.random.default_rng(4)
+    group, words = rng.integers(0, 3, 300), rng.integers(0, 2, (300, 4)).astype(np.uint64)
+    items, number = suffix.multikey(group, lambda i, d: words[i, d], [0, 1, 2, 3])
+    key = [(group[i], *words[i].tolist()) for i in range(300)]
+    many = collections.Counter(key)
+    assert items.tolist() == sorted((i for i in range(300) if many[key[i]] > 1), key=lambda i: (key[i], i)) and (np.diff(number) >= 0).all()
+
+
 def test_suffix_slices_and_chunks(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix, "SLICE", 700)
     monkeypatch.setattr(suffix, "CHUNK", 40)
