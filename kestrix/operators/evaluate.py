@@ -62,7 +62,7 @@ def _curve(df: DataFrame) -> DataFrame:
     by = df.groupBy("score").agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
     # approximate quantiles: how scores spread over them changes only how evenly the work does
     splits = sorted({s for s in df.agg(F.percentile_approx("score", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or () if not math.isnan(s)})
-    by = by.withColumn("b", sum(((F.col("score") > s).cast("int") for s in splits), F.lit(0)))
+    by = by.withColumn("b", F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s < F.col("score"))) if splits else F.lit(0))
     down = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     totals = by.groupBy("b").agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
     before = totals.select("b", F.coalesce(F.sum("tp").over(down), F.lit(0)).alias("bp"), F.coalesce(F.sum("tq").over(down), F.lit(0)).alias("bq"))
