@@ -25,6 +25,8 @@ class Result:
     reason: str
     iterations: int
     states: list = field(default_factory=list)
+    #: Coefficients after every iteration, only of an objective with ``keep_path``.
+    path: list = field(default_factory=list)
 
 
 class _Progress:
@@ -36,9 +38,12 @@ class _Progress:
         self.gradient_limit = np.linalg.norm(gradient) * tolerance
         self.max_iterations, self.iteration = max_iterations, 0
         self.states: deque = deque(maxlen=100)
+        self.path: list | None = [] if getattr(objective, "keep_path", False) else None
         self.began = time.time()
 
     def note(self, b: np.ndarray, value: float, gradient: np.ndarray) -> None:
+        if self.path is not None:
+            self.path.append(b.copy())
         self.states.append({"iteration": self.iteration, "value": value, "gradient_norm": float(np.linalg.norm(gradient)), "seconds": time.time() - self.began})
 
     def reason(self, before: float, value: float, gradient: np.ndarray, improved: bool) -> str | None:
@@ -138,7 +143,7 @@ def lbfgs(objective, start: np.ndarray, tolerance=1e-7, max_iterations=100, memo
             b, g = b + step * d, new
         state.note(b, value, g)
         if reason := state.reason(before, value, g, bool(found)):
-            return Result(b, value, g, reason, state.iteration, list(state.states))
+            return Result(b, value, g, reason, state.iteration, list(state.states), state.path or [])
 
 
 def owlqn(objective, start: np.ndarray, l1: float, tolerance=1e-7, max_iterations=100, memory=10, bounds=None) -> Result:
@@ -149,6 +154,8 @@ def owlqn(objective, start: np.ndarray, l1: float, tolerance=1e-7, max_iteration
         return np.where(b > 0, g + l1, np.where(b < 0, g - l1, free))
 
     class Full:
+        keep_path = getattr(objective, "keep_path", False)
+
         @staticmethod
         def value_gradient(b):
             v, g = objective.value_gradient(b)
@@ -182,7 +189,7 @@ def owlqn(objective, start: np.ndarray, l1: float, tolerance=1e-7, max_iteration
             b, g, value = new, ng, v
         state.note(b, value, pseudo(b, g))
         if reason := state.reason(before, value, pseudo(b, g), improved):
-            return Result(b, value, pseudo(b, g), reason, state.iteration, list(state.states))
+            return Result(b, value, pseudo(b, g), reason, state.iteration, list(state.states), state.path or [])
 
 
 def lbfgsb(objective, start: np.ndarray, tolerance=1e-7, max_iterations=100, memory=10, bounds=None) -> Result:
@@ -216,7 +223,7 @@ def lbfgsb(objective, start: np.ndarray, tolerance=1e-7, max_iterations=100, mem
         left = np.where(held, 0.0, g)
         state.note(b, value, left)
         if reason := state.reason(before, value, left, improved):
-            return Result(b, value, left, reason, state.iteration, list(state.states))
+            return Result(b, value, left, reason, state.iteration, list(state.states), state.path or [])
 
 
 def tron(objective, start: np.ndarray, tolerance=1e-5, max_iterations=15, failures=5, bounds=None) -> Result:
@@ -256,7 +263,7 @@ def tron(objective, start: np.ndarray, tolerance=1e-5, max_iterations=15, failur
         if not improved and failed < failures and state.iteration < max_iterations:
             continue
         if reason := state.reason(before, value, g, improved):
-            return Result(b, value, g, reason, state.iteration, list(state.states))
+            return Result(b, value, g, reason, state.iteration, list(state.states), state.path or [])
 
 
 def _steihaug(objective, b, g, radius, most=20, share=0.1):

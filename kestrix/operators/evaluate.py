@@ -181,3 +181,9 @@ def legacy_metrics(df: DataFrame, task: str, parameters: int | None = None) -> d
             n = df.count()
             out["aic"] = aic(out["log_likelihood"] * n, parameters, n)
     return out
+
+
+def legacy_best(task: str, measured: list[tuple]) -> tuple:
+    """The (weight, model, metrics) with the best metric of its task; the first of equal ones."""
+    key, sign = {"LINEAR_REGRESSION": ("rmse", -1), "POISSON_REGRESSION": ("log_likelihood", 1)}.get(task, ("auc", 1))
+    return max(measured, key=lambda r: sign * r[2][key])

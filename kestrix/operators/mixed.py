@@ -116,6 +116,7 @@ class FixedCoordinate:
     intercept: int | None = None
     variance: str = "NONE"
     result: Result | None = None
+    keep_path: bool = False
 
     def train(self, df: DataFrame, offset: Column, before: FixedModel | None = None, prior: FixedModel | None = None) -> FixedModel:
         c, loss = self.config, TASKS[self.task]
@@ -125,8 +126,10 @@ class FixedCoordinate:
         data = data.persist()
         penalty = _penalty(c, self.intercept, self.norm, prior and (prior.means, prior.variances))
         objective = Distributed(loss, data, self.size, penalty, self.norm if loss.np_second else Normalization())
+        objective.keep_path = self.keep_path
         start = np.zeros(self.size) if before is None else self.norm.to_transformed(_resized(before.means, self.size))
         self.result = minimise(objective, start, c.optimizer, c.l1, c.tolerance, c.max_iterations, c.bounds)
+        self.result.path = [objective.norm.to_original(b) for b in self.result.path]
         means = objective.norm.to_original(self.result.coefficients)
         if not np.isfinite(means).all():
             raise ArithmeticError(f"coefficients {np.flatnonzero(~np.isfinite(means)).tolist()} are not finite")
@@ -366,12 +369,12 @@ class Transformer:
         return evaluate.evaluate(self.transform(df), self.evaluators)
 
 
-def regularization_path(df: DataFrame, config: Coordinate, task: str, weights: list[float], **options) -> list[tuple[float, FixedModel, Result]]:
-    """Models for weights in falling order, each started from the one before."""
+def regularization_path(df: DataFrame, config: Coordinate, task: str, weights: list[float], warm_start: bool = True, **options) -> list[tuple[float, FixedModel, Result]]:
+    """Models for weights in falling order, each started from the one before, or from zero without warm_start."""
     out, before = [], None
     size = options.pop("size", None) or _size(df, config.shard)
     for w in sorted(weights, reverse=True):
         c = FixedCoordinate(replace(config, weight=w), task, size, **options)
-        before = c.train(df, F.col("offset"), before)
+        before = c.train(df, F.col("offset"), before if warm_start else None)
         out.append((w, before, c.result))
     return out

@@ -22,7 +22,7 @@ from kestrix.operators.config import Coordinate, Shard
 from kestrix.sources import readers, writers
 from kestrix.sources.avro import AvroSource
 
-from . import drivers
+from . import drivers, single
 from .catalog import BETA, FEATURES, _bags, _entity_models, _round, _scored, _SCORED, _two, _vectors, examples, query
 
 #: Names of the features before the intercept.
@@ -658,6 +658,22 @@ def single_model_job(spark, sf_dir):
     return best.select("strength", F.round(F.lit(metrics["rmse"]), 5).alias("rmse"), F.round("bias", 5).alias("bias"))
 
 
+@query("single_model_command_line", "WITH l AS (SELECT * FROM (VALUES (1000000.0::DOUBLE), (1.0)) AS l(strength)), t AS (SELECT sum(weight * (response - \"offset\")) AS s, sum(weight) AS w FROM ex WHERE weight > 0), b AS (SELECT strength, s / (w + strength) AS b FROM t, l) SELECT strength, round(sqrt(avg((b + \"offset\" - response) * (b + \"offset\" - response))), 5) AS rmse, round(b, 5) AS bias FROM ex, b WHERE weight > 0 GROUP BY strength, b ORDER BY 2 LIMIT 1")
+def single_model_command_line(spark, sf_dir):
+    """The single-model job by its options, from Avro records: both weights are trained, the best by its metric is written."""
+    spark.dataSource.register(AvroSource)
+    at = scratch(spark)
+    named = F.array(F.struct(F.lit("one").alias("name"), F.lit("").alias("term"), F.lit(1.0).alias("value")))
+    _two(spark, sf_dir).select(F.col("uid").cast("string").alias("uid"), F.col("label").alias("response"), named.alias("features"), "offset", "weight").write.format(AvroSource.name()).mode("append").save(f"{at}/in")
+    job = single.main([
+        "--training-data-directory", f"{at}/in", "--validating-data-directory", f"{at}/in", "--output-directory", f"{at}/out", "--task", "linear_regression", "--intercept", "false",
+        "--regularization-weights", "1000000,1", "--num-iterations", "100", "--convergence-tolerance", "1e-13",
+    ])
+    p = F.split("value", "\t")
+    best = spark.read.text(f"{at}/out/best-model-text").select(p[3].cast("double").alias("strength"), p[2].cast("double").alias("bias"))
+    return best.select("strength", F.round(F.lit(job.metrics[job.best[0]]["rmse"]), 5).alias("rmse"), F.round("bias", 5).alias("bias"))
+
+
 @query("coordinate_language", "SELECT * FROM (VALUES ('fixed', '', 'TRON', '10|1', 0.5::DOUBLE, 0), ('user', 'userId', 'LBFGS', '3', 1.0, 100)) AS t(name, entity, optimizer, weights, rate, cap)", False)
 def coordinate_language(spark, sf_dir):
     """Configurations written in the command line's language, printed and read again."""

@@ -187,8 +187,7 @@ def train_single(
     for w, m, _ in path:
         scored = validation.withColumn("score", m.score(validation) + F.col("offset"))
         measured.append((w, m, evaluate.legacy_metrics(scored, task, int((abs(m.means) > 1e-12).sum()))))
-    key, sign = {"LINEAR_REGRESSION": ("rmse", -1), "POISSON_REGRESSION": ("log_likelihood", 1)}.get(task, ("auc", 1))
-    best = max(measured, key=lambda r: sign * r[2][key])
+    best = evaluate.legacy_best(task, measured)
     writers.write_text_models(spark, f"{output}/best-model-text", [best[:2]], index)
     return best
 

@@ -107,18 +107,18 @@ def libsvm_records(spark: SparkSession, path: str, real_label: bool = False) ->
     return lines.select("uid", (label if real_label else F.when(label > 0, 1.0).otherwise(0.0)).alias("label"), named.alias("features"))
 
 
-def input_format(name: str, dimension: int = 0, dialect: str = "TRAINING_EXAMPLE"):
+def input_format(name: str, dimension: int = 0, dialect: str = "TRAINING_EXAMPLE", intercept: bool = True, selected: DataFrame | None = None):
     """A reader (spark, path) of legacy training data: LIBSVM, which needs a dimension, or records of named features."""
     if name == "LIBSVM":
         if dimension <= 0:
             raise ValueError("LIBSVM needs a positive feature dimension")
-        return lambda spark, path: read_libsvm(spark, path, dimension)
+        return lambda spark, path: read_libsvm(spark, path, dimension, intercept)
     if name == "AVRO":
         from .avro import AvroSource
 
         def records(spark: SparkSession, path: str) -> DataFrame:
             spark.dataSource.register(AvroSource)
-            return read_training_records(spark.read.format(AvroSource.name()).load(path), dialect)
+            return read_training_records(spark.read.format(AvroSource.name()).load(path), dialect, selected)
 
         return records
     raise ValueError(f"no input format {name}")
