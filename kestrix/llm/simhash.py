@@ -108,12 +108,12 @@ def _chained(x: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return np.flatnonzero(passed)
 
 
-def _bucket_links(key, side, fp, rep) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_links(key, side, fp, rep, chained=_chained) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links inside each run of equal keys.
 
     key: (pair of segments, value, block pair) as one integer; rows are sorted by it.
     side: 0 if the bucket's pairs are all wanted, else 1 or 2, and only pairs
-    of different sides are.
+    of different sides are.  chained: which XORs of fp pass.
     """
     n = len(key)
     ends = np.searchsorted(key, key, "right")
@@ -125,7 +125,7 @@ def _bucket_links(key, side, fp, rep) -> tuple[np.ndarray, np.ndarray]:
         if side.any():
             want = (side[i] == 0) | (side[i] != side[j])
             i, j = i[want], j[want]
-        ok = _chained(fp[i] ^ fp[j], pair[i])
+        ok = chained(fp[i] ^ fp[j], pair[i])
         a.append(i[ok])
         b.append(j[ok])
         size += len(ok)
@@ -207,8 +207,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component of docs, all columns.
 
-    Components are those of five-word shingle sets of similarity 0.8 or more,
-    not of fingerprints.  The row of the smallest doc_id stays, null ids last,
+    Components are those of five-word shingle sets of similarity 0.8 or more:
+    long fingerprints bring candidates together, and these are counted.  The row of the smallest doc_id stays, null ids last,
     then that of the smallest XXH64 of the text.  If rows of one id would stay
     for several components, only the one of smallest XXH64 does; null ids are
     no documents of one id.  Of rows with equal id and text any one stays.

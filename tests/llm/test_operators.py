@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kestrix.llm import chat, common, embedding, html_text, language, mixing, packing, quality, simhash, suffix, url_filter
+from kestrix.llm import chat, common, embedding, html_text, language, mixing, near_copies, packing, quality, simhash, suffix, url_filter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -659,6 +659,73 @@ def test_drop_near_duplicates_of_similarity(spark, block, monkeypatch):
     assert far and kept == {i for i, _ in pairs} | set(far) | {i + 1 for i in far}
 
 
+def plain_ring(found):
+    """Bits of a shingle set's ring, shingle by shingle."""
+    mask, total = (1 << 64) - 1, np.zeros((2, near_copies.SEGMENTS * near_copies.WIDTH // 2), int)
+    for h in found:
+        z = [int(h) * int(f) & mask for f in near_copies._FACTORS[0]]
+        z = [(v ^ v >> 32) * int(f) & mask for v, f in zip(z, near_copies._FACTORS[1])]
+        weights = np.array([list((v ^ v >> 29).to_bytes(8, "little")) for v in z])
+        total += np.stack([weights[:, ::2].reshape(-1), weights[:, 1::2].reshape(-1)])
+    return (2 * total > 255 * len(found)).reshape(-1)
+
+
+@pytest.mark.parametrize("n", [1, 5, 128, 300])
+def test_ring_against_plain(n):
+    found = near_copies.shingles(" ".join(f"w{k}" for k in range(n + 4)))
+    assert len(found) == n
+    assert (np.unpackbits(near_copies.fingerprint(found)) == plain_ring(found)).all()
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_chains_of_rings(spark, block, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    rng = np.random.default_rng(4)
+    bits = near_copies.SEGMENTS * near_copies.WIDTH
+    rings = []
+    for _ in range(12):
+        ring = rng.integers(0, 2, bits, np.uint8)
+        for p in (0, 0.05, 0.15, 0.2, 0.25, 0.3):
+            rings.append(ring ^ (rng.random(bits) < p))
+    rings = np.packbits(np.array(rings), axis=1).view(np.uint16)
+    apart = np.bitwise_count(rings[:, None] ^ rings[None]).astype(int)
+    want = {k: k for k in range(len(rings))}
+    for a in range(len(rings)):
+        for b in range(a):
+            for s in range(near_copies.SEGMENTS):
+                chain = np.cumsum(np.roll(apart[a, b], -s)[: near_copies.LINKS_AHEAD + 1])
+                if chain[0] == 0 and all(chain[k] <= near_copies.BUDGET * (k + 1) for k in range(1, len(chain))):
+                    x, y = find(want, a), find(want, b)
+                    want[max(x, y)] = min(x, y)
+    classes = spark.createDataFrame([(k, 1, bytearray(r.tobytes())) for k, r in enumerate(rings)], "id long, n long, ring binary")
+    got = {r["node"]: r["component"] for r in common.components(near_copies.candidates(classes)).collect()}
+    assert 1 < len({find(want, k) for k in want}) < len(rings)
+    assert all(got.get(k, k) == find(want, k) for k in want)
+
+
+def test_hooked_edges_keep_components(spark):
+    rng = random.Random(9)
+    edges = [(k, lead) for k in range(20, 200) for lead in sorted(rng.sample(range(10 * (k % 2), 10 * (k % 2) + 10), 6))]
+    df = spark.createDataFrame([*edges, (300, 299), (301, 300)], "a long, b long")
+    few = near_copies._hooked(near_copies._hooked(df))
+    assert few.count() < 2 * 202 < len(edges)
+    named = lambda e: {(r["node"], r["component"]) for r in common.components(e).collect()}
+    assert named(few) == named(df)
+
+
+def test_chains_miss_few_similar_sets():
+    rng, missed = np.random.default_rng(5), 0
+    for both, one, other in [(4, 1, 0), (20, 3, 2), (80, 10, 10), (240, 60, 0)] * 100:
+        found = rng.integers(0, 1 << 63, both + one + other, np.uint64) * np.uint64(2)
+        a, b = found[: both + one], np.concatenate([found[:both], found[both + one :]])
+        x, y = (near_copies._chains(near_copies.fingerprint(f).view(np.uint16)[None]) for f in (a, b))
+        assert near_copies.similar(np.sort(a), np.sort(b))
+        equal = x[0] == y[0]
+        missed += not len(near_copies._chained((x[1] ^ y[1])[equal], None))
+    assert missed <= 1
+
+
 def test_drop_near_duplicates_null_and_repeated_ids(spark):
     rng = random.Random(6)
     a, b, c, d = (prose(rng, 100) for _ in range(4))
