@@ -298,8 +298,8 @@ def uid_partitions(spark, sf_dir):
 @query("entity_bins", "WITH n AS (SELECT least(count(*), 400) AS n FROM ex GROUP BY supplier) SELECT CAST(count(*) AS BIGINT) AS entities, CAST(sum(n) AS BIGINT) AS load, true AS even FROM n")
 def entity_bins(spark, sf_dir):
     """Loads of eight bins; greedy bins differ by no more than the largest entity."""
-    d = examples(spark, sf_dir)
-    bins = partitioning.entity_bins(d, "supplier", 8, 400)
+    d = examples(spark, sf_dir).select("supplier")
+    bins = partitioning.even_bins(d, "supplier", 8, 400)
     per = partitioning.with_bin(d, "supplier", 8, bins).groupBy("bin", "supplier").agg(F.least(F.count("*"), F.lit(400)).alias("n"))
     by_bin = per.groupBy("bin").agg(F.count("*").alias("e"), F.sum("n").alias("load"), F.max("n").alias("most"))
     return by_bin.agg(F.sum("e").alias("entities"), F.sum("load").alias("load"), (F.max("load") - F.min("load") <= F.max("most")).alias("even"))

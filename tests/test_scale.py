@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kestrix.functions import losses
 from kestrix.operators import config, evaluate, indexing, mixed, objective, partitioning
+from kestrix.plans import catalog
 from kestrix.sources import avro
 
 ROW = "uid long, bag array<struct<name:string,term:string,value:double>>"
@@ -80,6 +81,29 @@ def test_bins(spark):
     assert parts.where("n > 1").count() == 0
 
 
+@pytest.mark.parametrize("n, cap", [(4, None), (7, 30), (3, 1)])
+def test_every_entity_has_an_even_bin(spark, monkeypatch, n, cap):
+    monkeypatch.setattr(indexing, "PARTS", 5)
+    monkeypatch.setattr(partitioning, "CAPACITY", 3)
+    counts = {f"e{i}": 1 + i * i % 41 for i in range(60)} | {None: 9}
+    d = spark.createDataFrame([(e,) for e, k in counts.items() for _ in range(k)], "e string")
+    got = {r["e"]: r["bin"] for r in partitioning.even_bins(d, "e", n, cap).collect()}
+    load = {e: k if cap is None else min(k, cap) for e, k in counts.items()}
+    bins, want = [0] * n, {}
+    for e in sorted(load, key=lambda e: (-load[e], e is not None, e or "")):
+        want[e] = bins.index(min(bins))
+        bins[want[e]] += load[e]
+    assert got == want and max(bins) - min(bins) <= max(load.values())
+    of = {r["e"]: r["bin"] for r in partitioning.with_bin(d, "e", n, partitioning.even_bins(d, "e", n, cap)).distinct().collect()}
+    assert of == want and partitioning.by_entity(d, "e", n, cap).count() == d.count()
+
+
+def test_entity_bins_query_beyond_capacity(spark, monkeypatch):
+    monkeypatch.setattr(partitioning.entity_bins, "__defaults__", (None, 2))
+    row = catalog.QUERIES["entity_bins"](spark, "/root/testdata/sf0.01").first()
+    assert row["even"]
+
+
 def test_box_constraint_errors():
     index = [("a\x01x", 0), ("a\x01y", 1), ("(INTERCEPT)\x01", 2)]
     read = lambda *e: config.box_constraints(__import__("json").dumps(e), index, 2)
