@@ -21,7 +21,7 @@ from kestrix.functions.optim import Result, minimise
 from . import dataset, evaluate
 from .config import Coordinate
 from .normalize import Normalization
-from .objective import Distributed, Local, Penalty, Sparse, variances
+from .objective import Distributed, Local, Penalty, Sparse, packed, variances
 
 COEFFICIENTS = "array<struct<idx:int,mean:double,variance:double>>"
 #: Rows of an entity beyond which it is trained over the cluster and not in one task.
@@ -118,12 +118,17 @@ class FixedCoordinate:
     result: Result | None = None
     keep_path: bool = False
 
-    def train(self, df: DataFrame, offset: Column, before: FixedModel | None = None, prior: FixedModel | None = None) -> FixedModel:
-        c, loss = self.config, TASKS[self.task]
+    def blocks(self, df: DataFrame, offset: Column) -> DataFrame:
+        """The packed rows that a training reads again and again; the caller gives them back."""
+        c = self.config
         data = df.select("label", offset.alias("offset"), "weight", F.col(c.shard).alias("features"))
         if c.down_sampling_rate < 1:
             data = dataset.down_sample(data, c.down_sampling_rate, self.task)
-        data = data.persist()
+        return packed(data).persist()
+
+    def train(self, df: DataFrame, offset: Column, before: FixedModel | None = None, prior: FixedModel | None = None, blocks: DataFrame | None = None) -> FixedModel:
+        c, loss = self.config, TASKS[self.task]
+        data = self.blocks(df, offset) if blocks is None else blocks
         penalty = _penalty(c, self.intercept, self.norm, prior and (prior.means, prior.variances))
         objective = Distributed(loss, data, self.size, penalty, self.norm if loss.np_second else Normalization())
         objective.keep_path = self.keep_path
@@ -134,7 +139,8 @@ class FixedCoordinate:
         if not np.isfinite(means).all():
             raise ArithmeticError(f"coefficients {np.flatnonzero(~np.isfinite(means)).tolist()} are not finite")
         found = FixedModel(c.shard, means, variances(objective, means, self.variance))
-        data.unpersist()
+        if blocks is None:
+            data.unpersist()
         return found
 
 
@@ -373,8 +379,10 @@ def regularization_path(df: DataFrame, config: Coordinate, task: str, weights: l
     """Models for weights in falling order, each started from the one before, or from zero without warm_start."""
     out, before = [], None
     size = options.pop("size", None) or _size(df, config.shard)
+    blocks = FixedCoordinate(config, task, size).blocks(df, F.col("offset"))
     for w in sorted(weights, reverse=True):
         c = FixedCoordinate(replace(config, weight=w), task, size, **options)
-        before = c.train(df, F.col("offset"), before if warm_start else None)
+        before = c.train(df, F.col("offset"), before if warm_start else None, blocks=blocks)
         out.append((w, before, c.result))
+    blocks.unpersist()
     return out

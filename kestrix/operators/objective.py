@@ -121,8 +121,21 @@ class Local:
         return self.x.gram(self._curvature(raw), self.size) + np.diag(self.penalty.curvature(self.size))
 
 
+def packed(data: DataFrame) -> DataFrame:
+    """(label, offset, weight, features) as compressed Arrow blocks: an evaluation need not turn rows into Arrow again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    return data.select("label", "offset", "weight", "features").mapInArrow(run, "block binary")
+
+
 class Distributed:
-    """Objective over a DataFrame (label, offset, weight, features), kept in memory by the caller.
+    """Objective over a DataFrame (label, offset, weight, features) or its ``packed`` blocks, kept in memory by the caller.
 
     An evaluation sends the coefficients with the tasks and brings back one
     vector a partition.  With many partitions executors add them first, chunk
@@ -132,15 +145,25 @@ class Distributed:
 
     def __init__(self, loss: Loss, data: DataFrame, size: int, penalty: Penalty = Penalty(), norm: Normalization = Normalization()):
         self.loss, self.size, self.penalty, self.norm = loss, size, penalty, norm
-        self.data = data.select("label", "offset", "weight", "features")
+        self.packed = data.columns == ["block"]
+        self.data = data if self.packed else data.select("label", "offset", "weight", "features")
         self.partitions = self.data.rdd.getNumPartitions()
 
     def _sum(self, part) -> np.ndarray:
         """Sum over the data of part(x, y, offset, weight), a vector."""
+        is_packed = self.packed
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if is_packed:
+                    for x in b.column(0):
+                        yield from pa.ipc.open_stream(x.as_buffer())
+                else:
+                    yield b
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
-            for b in batches:
+            for b in rows(batches):
                 if b.num_rows:
                     y, offset, weight = (b.column(c).to_numpy() for c in range(3))
                     now = part(Sparse.from_arrow(b.column(3)), y, offset, weight)

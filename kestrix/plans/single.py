@@ -157,7 +157,8 @@ class SingleJob:
         last = self.index.where(F.col("key") == INTERCEPT + SEPARATOR).first()
         self.intercept = last["idx"] if last else None
         at = p.value("validating-data-directory")
-        self.held = self._read(at) if at else None
+        # the same records are read and kept once
+        self.held = None if not at else self.rows if at == p.value("training-data-directory") else self._read(at)
         self.norm, summary = normalize.Normalization(), p.value("summarization-output-dir")
         if summary or p.value("normalization-type") != normalize.NONE:
             stats = normalize.statistics(self.rows)

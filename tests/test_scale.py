@@ -1,12 +1,13 @@
 """Paths that only large data take, on small tables with their bounds lowered."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kestrix.functions import losses
 from kestrix.operators import config, evaluate, indexing, mixed, objective, partitioning
-from kestrix.plans import catalog
+from kestrix.plans import catalog, single
 from kestrix.sources import avro
 
 ROW = "uid long, bag array<struct<name:string,term:string,value:double>>"
@@ -127,3 +128,45 @@ def test_avro_splits(tmp_path, codec):
         step = max(split, size // 200)
         found = [r for k in range(0, size, step) for r in avro.read_file(f"file://{at}", k, min(k + step, size))]
         assert found == [(r["a"], r["s"]) for r in rows]
+
+
+KINDS = ["int", "long", "float", "double", "string", "boolean", "bytes"]
+
+
+@pytest.mark.parametrize("codec", ["null", "deflate"])
+def test_avro_blocks_become_columns(tmp_path, codec):
+    fields = [{"name": k, "type": ["null", k] if i % 2 else k} for i, k in enumerate(KINDS)]
+    item = {"type": "record", "name": "I", "fields": [{"name": "n", "type": ["string", "null"]}, {"name": "v", "type": "double"}]}
+    fields += [{"name": "bag", "type": ["null", {"type": "array", "items": ["null", item]}]}, {"name": "deep", "type": {"type": "array", "items": {"type": "array", "items": "long"}}}]
+    schema = {"type": "record", "name": "R", "fields": fields}
+    rows = [{"int": -i, "long": None if i % 3 else i << 40, "float": i / 2, "double": None if i % 7 == 0 else -i / 3, "string": "ä" * (i % 200), "boolean": None if i % 5 else i % 2 == 0, "bytes": bytes([i % 256]) * 3,
+             "bag": None if i % 4 == 0 else [None if j == 1 else {"n": None if j == 2 else "x", "v": j / 7} for j in range(i % 5)], "deep": [[j] * j for j in range(i % 4)]} for i in range(300)]
+    at = f"{tmp_path}/x.avro"
+    wrap = lambda r: r | {"bag": r["bag"] and [x and type("I", (), x) for x in r["bag"]]}
+    avro.write_file(at, schema, map(wrap, rows), codec, block=7)
+    size = avro.files(at)[0][1]
+    batches = [b for k in range(0, size, 777) for b in avro.read_batches(at, k, k + 777)]
+    assert all(isinstance(b, pa.RecordBatch) for b in batches) and [r for b in batches for r in b.to_pylist()] == rows
+    again = f"{tmp_path}/y.avro"
+    avro.write_file(again, schema, avro._encoded(avro.Schema(schema), batches), codec, block=7, encoded=True)
+    assert list(avro.read_file(again)) == list(avro.read_file(at))
+
+
+def test_avro_unions_of_types_are_read_by_record(tmp_path):
+    schema = {"type": "record", "name": "R", "fields": [{"name": "a", "type": ["null", "int", "double"]}]}
+    at = f"{tmp_path}/x.avro"
+    avro.write_file(at, schema, [{"a": 1}, {"a": None}])
+    assert list(avro.read_batches(at)) == [(1.0,), (None,)]
+
+
+def test_path_packs_rows_once_and_the_same_folder_is_read_once(spark, monkeypatch, tmp_path):
+    spark.dataSource.register(avro.AvroSource)
+    rows = [(str(i), float(i % 4), [("a", "", float(i))], 0.0, 1.0) for i in range(40)]
+    kind = "uid string, response double, features array<struct<name:string,term:string,value:double>>, offset double, weight double"
+    spark.createDataFrame(rows, kind).write.format("kestrix-avro").mode("append").save(f"{tmp_path}/in")
+    made, read = [], []
+    pack, one = mixed.packed, single.SingleJob._read
+    monkeypatch.setattr(mixed, "packed", lambda d: made.append(1) or pack(d))
+    monkeypatch.setattr(single.SingleJob, "_read", lambda self, at: read.append(at) or one(self, at))
+    job = single.main(["--training-data-directory", f"{tmp_path}/in", "--validating-data-directory", f"{tmp_path}/in", "--output-directory", f"{tmp_path}/out", "--task", "linear_regression", "--regularization-weights", "10,1"])
+    assert len(made) == 1 and len(read) == 1 and set(job.metrics) == {1.0, 10.0}
