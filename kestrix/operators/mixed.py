@@ -7,27 +7,41 @@ expression and not a join.
 
 from __future__ import annotations
 
+import gc
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrix.functions import optim_many
 from kestrix.functions.losses import TASKS, mean
 from kestrix.functions.optim import Result, minimise
 
 from . import dataset, evaluate
 from .config import Coordinate
 from .normalize import Normalization
-from .objective import Distributed, Local, Penalty, Sparse, packed, variances
+from .objective import Distributed, Local, Many, Penalty, Sparse, inverse_diagonal, packed, variances
 
 COEFFICIENTS = "array<struct<idx:int,mean:double,variance:double>>"
 #: Rows of an entity beyond which it is trained over the cluster and not in one task.
 HOT_ROWS = 500_000
 
 
+#: Rows whose entities are trained side by side.
+TOGETHER = 1 << 16
+
+
+def _starts(entity: pa.ChunkedArray) -> np.ndarray:
+    """Where the entities of ordered rows begin."""
+    codes = entity.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+
+
 @dataclass
 class FixedModel:
     """Coefficients shared by all rows."""
@@ -189,10 +203,11 @@ class RandomCoordinate:
         models = none if old is None else old.table.select(F.col(old.entity).cast("string").alias("entity"), "coefficients")
         schema = f"entity string, coefficients {COEFFICIENTS}, reason string, iterations int"
         # there is one of these for each HOT_ROWS rows at most; each takes its own jobs
-        hot = sorted(r[0] for r in active.groupBy("entity").count().where((F.col("count") > HOT_ROWS) & F.col("entity").isNotNull()).collect())
+        few = c.cap is not None and c.cap <= HOT_ROWS
+        hot = [] if few else sorted(r[0] for r in active.groupBy("entity").count().where((F.col("count") > HOT_ROWS) & F.col("entity").isNotNull()).collect())
         is_cold = ~F.coalesce(F.col("entity").isin(hot), F.lit(False))
         cold, cold_models = (active.where(is_cold), models.where(is_cold)) if hot else (active, models)
-        trained = cold.groupBy("entity").cogroup(cold_models.groupBy("entity")).applyInArrow(lambda left, right: solver.group(left, right), schema)
+        trained = _by_entity(cold, None if old is None else cold_models).mapInArrow(solver.stream, schema)
         for e in hot:
             rows = models.where(F.col("entity") == e).collect()
             trained = trained.unionByName(active.sparkSession.createDataFrame([solver.spread(e, active.where(F.col("entity") == e), rows[0]["coefficients"] if rows else [])], schema))
@@ -201,6 +216,22 @@ class RandomCoordinate:
         return RandomModel(c.shard, c.entity, trained.select(F.col("entity").alias(c.entity), "coefficients"))
 
 
+def _by_entity(active: DataFrame, models: DataFrame | None) -> DataFrame:
+    """Rows in the order of their entities, an entity's in one partition, its earlier coefficients in one row of it.
+
+    The window is last, so that its partitioning and order hold in what reads
+    the rows; rows that come from a window over the entity don't move again.
+    """
+    rows = active.withColumn("row", F.lit(True))
+    rows = rows.withColumn("coefficients", F.lit(None).cast(COEFFICIENTS)) if models is None else rows.join(models, "entity", "full_outer")
+    first = F.row_number().over(Window.partitionBy("entity").orderBy("uid")) == 1
+    rows = rows.withColumn("first", first)
+    # of a null entity the earlier model is a row of its own
+    old = F.when(F.col("first") | F.col("row").isNull(), F.col("coefficients"))
+    # "first" stays, or the window would be left out of the plan where there are no earlier models
+    return rows.select("entity", F.col("row").isNotNull().alias("row"), "label", "offset", "weight", "features", old.alias("coefficients"), "first")
+
+
 @dataclass(frozen=True)
 class _Solver:
     """Trains one entity in the subspace of the features it has."""
@@ -234,20 +265,99 @@ class _Solver:
         out = [{"idx": int(k), "mean": float(m), "variance": None if v is None else float(v[i])} for i, (k, m) in enumerate(zip(kept, raw))]
         return out, r.reason, r.iterations
 
-    def group(self, left: pa.Table, right: pa.Table) -> pa.Table:
-        old = right.column("coefficients")[0].as_py() if right.num_rows else []
-        if not left.num_rows:  # only an earlier model: it stays
-            name, out, reason, n = right.column("entity")[0].as_py(), old, None, None
-        else:
-            name = left.column("entity")[0].as_py()
-            left = left.sort_by("uid")
-            x = Sparse.from_arrow(left.column("features").combine_chunks())
-            y, offset, weight = (left.column(k).to_numpy() for k in ("label", "offset", "weight"))
-            kept, norm, intercept, means, var = self._space(x.col, old)
-            local = Sparse(x.n, x.row, np.searchsorted(kept, x.col), x.val)
-            out, reason, n = self._solve(lambda loss, penalty, nm: Local(loss, local, y, offset, weight, len(kept), penalty, nm), kept, norm, intercept, means, var)
+    def stream(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Models of the entities of _by_entity's rows, about TOGETHER rows at a time; an entity's rows stay together."""
+        held, enough = [], TOGETHER
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) < enough:
+                continue
+            t = pa.Table.from_batches(held)
+            starts = _starts(t.column("entity"))
+            whole = int(starts[-1])
+            if whole:
+                yield from self._solved(t.slice(0, whole))
+            held = t.slice(whole).combine_chunks().to_batches()
+            enough = max(TOGETHER, 2 * (t.num_rows - whole))
+        if held:
+            yield from self._solved(pa.Table.from_batches(held))
+
+    def _solved(self, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        starts = _starts(t.column("entity"))
+        names = t.column("entity").take(pa.array(starts)).combine_chunks()
+        by = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+        is_row = t.column("row").to_numpy()
+        has = np.bincount(by[is_row], minlength=len(starts)) > 0
+        coefficients = t.column("coefficients").combine_chunks()
+        have_old = ~coefficients.is_null().to_numpy(zero_copy_only=False)
+        rows, owner = t.filter(pa.array(is_row)), by[is_row]
         kind = pa.list_(pa.struct([("idx", pa.int32()), ("mean", pa.float64()), ("variance", pa.float64())]))
-        return pa.table({"entity": pa.array([name], pa.string()), "coefficients": pa.array([out], kind), "reason": pa.array([reason], pa.string()), "iterations": pa.array([n], pa.int32())})
+        fields = pa.schema([("entity", pa.string()), ("coefficients", kind), ("reason", pa.string()), ("iterations", pa.int32())])
+        stay = np.flatnonzero(have_old & ~has[by])  # only an earlier model: it stays
+        if len(stay):
+            none = len(stay)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(by[stay])), coefficients.take(pa.array(stay)).cast(kind), pa.nulls(none, pa.string()), pa.nulls(none, pa.int32())], schema=fields)
+        if not has.any():
+            return
+        # entities with rows, numbered anew
+        names, number = names.filter(pa.array(has)), np.cumsum(has) - 1
+        owner, n = number[owner], int(has.sum())
+        x = Sparse.from_arrow(rows.column("features").combine_chunks()) if rows.num_rows else None
+        y, offset, weight = (rows.column(k).to_numpy() for k in ("label", "offset", "weight"))
+        mine = np.flatnonzero(have_old & has[by])
+        earlier = coefficients.take(pa.array(mine))
+        sizes = earlier.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        entries = earlier.flatten()
+        old_key = np.repeat(number[by[mine]], sizes) << 32 | entries.field(0).to_numpy().astype(np.int64)
+        old_mean, old_var = entries.field(1).to_numpy(zero_copy_only=False), entries.field(2).fill_null(0.0).to_numpy(zero_copy_only=False)
+        key = owner[x.row] << 32 | x.col.astype(np.int64)
+        keys = np.unique(np.concatenate([key, old_key]))
+        of, kept = keys >> 32, keys & 0xFFFFFFFF
+        means, var = np.zeros(len(keys)), np.zeros(len(keys))
+        at = np.searchsorted(keys, old_key)
+        means[at], var[at] = old_mean, old_var
+        local = Sparse(x.n, x.row, np.searchsorted(keys, key), x.val)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
+        raw, v, reasons, iterations = (self._together if self._plain() else self._one_by_one)(local, y, offset, weight, owner, of, kept, ends, n, means, var)
+        out = pa.StructArray.from_arrays([pa.array(kept, pa.int32()), pa.array(raw), pa.nulls(len(keys), pa.float64()) if v is None else pa.array(v)], ["idx", "mean", "variance"])
+        yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends), out).cast(kind), pa.array(reasons, pa.string()), pa.array(iterations, pa.int32())], schema=fields)
+
+    def _plain(self) -> bool:
+        """Whether entities can be solved side by side."""
+        c, second = self.config, TASKS[self.task].np_second
+        scaled = second is not None and (self.norm.factors is not None or self.norm.shifts is not None)
+        return not scaled and not c.bounds and not c.l1 and self.variance != "FULL" and (c.optimizer == "LBFGS" or c.optimizer == "TRON" and second is not None)
+
+    def _together(self, x, y, offset, weight, owner, of, kept, ends, n, means, var) -> tuple:
+        c, loss = self.config, TASKS[self.task]
+        precision, mean = np.full(len(of), float(c.l2)), np.zeros(len(of))
+        if self.intercept is not None:
+            precision[kept == self.intercept] = 0.0
+        if self.with_prior:
+            known = (np.bincount(of, means != 0, n) > 0)[of]
+            prior, m = Penalty(c.l2, None, (means, var), 1.0 if c.incremental_weight is None else c.incremental_weight)._precision(len(of))
+            precision, mean = np.where(known, prior, precision), np.where(known, m, mean)
+        objective = Many(loss, x, y, offset, weight, owner, of, n, precision, mean)
+        options = {k: o for k, o in (("tolerance", c.tolerance), ("max_iterations", c.max_iterations)) if o is not None}
+        raw, reasons, iterations = (optim_many.tron if c.optimizer == "TRON" else optim_many.lbfgs)(objective, means, **options)
+        v = None if self.variance == "NONE" or loss.np_second is None else inverse_diagonal(objective.hessian_diagonal(raw))
+        return raw, v, reasons.tolist(), iterations
+
+    def _one_by_one(self, x, y, offset, weight, owner, of, kept, ends, n, means, var) -> tuple:
+        row_ends, out = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), []
+        entry_ends = np.searchsorted(x.row, row_ends)
+        for e in range(n):
+            (a, b), (i, j), (f, t) = row_ends[e : e + 2], ends[e : e + 2], entry_ends[e : e + 2]
+            local, own = Sparse(b - a, x.row[f:t] - a, x.col[f:t] - i, x.val[f:t]), kept[i:j]
+            where = np.flatnonzero(own == self.intercept) if self.intercept is not None else []
+            make = lambda loss, penalty, nm: Local(loss, local, y[a:b], offset[a:b], weight[a:b], len(own), penalty, nm)  # noqa: E731, B023
+            out.append(self._solve(make, own, self.norm.project(own), int(where[0]) if len(where) else None, means[i:j], var[i:j]))
+        flat = [c for found, _, _ in out for c in found]
+        v = np.array([np.nan if c["variance"] is None else c["variance"] for c in flat], float)
+        return np.array([c["mean"] for c in flat], float), None if all(c["variance"] is None for c in flat) else v, [r for _, r, _ in out], [k for _, _, k in out]
 
     def spread(self, name: str, rows: DataFrame, old: list) -> tuple:
         """The same for an entity too large for one task, by one job an evaluation."""
@@ -260,6 +370,30 @@ class _Solver:
         return (name, *found)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the checkpoint folder, which cuts its lineage; in memory and on disk if there is no such folder."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getCheckpointDir()
+    if base is None:
+        return df.persist()
+    at = f"{base}/kestrix-rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    # shuffle files go once the driver has collected the plans that own them
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.parquet(at)
+
+
+def dropped(df: DataFrame) -> None:
+    """Gives back what ``kept`` wrote; whoever calls it has no more use of df."""
+    spark = df.sparkSession
+    files = df.inputFiles() if spark.sparkContext.getCheckpointDir() else []
+    for at in {f.rpartition("/")[0] for f in files if "/kestrix-rows-" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    df.unpersist()
+
+
 @dataclass
 class Descended:
     model: MixedModel
@@ -273,9 +407,10 @@ def descend(df: DataFrame, coordinates: dict, task: str, passes: int = 1, valida
     df has uid, label, offset, weight, id tags and shards.  Locked coordinates
     score with their initial model and are never trained.  With validation
     data every update is evaluated, and the best model after the first full
-    pass is returned.  cut cuts a DataFrame's lineage, once a pass.
+    pass is returned.  cut cuts a DataFrame's lineage after each update but the
+    last; df is read several times and should be kept by the caller.
     """
-    cut = cut or (lambda d: d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d.persist())
+    cut, give_back = (cut, None) if cut else (kept, dropped)
     if bad := set(locked) - set(initial.models if initial else {}):
         raise ValueError(f"locked coordinates need an initial model: {sorted(bad)}")
     trainable = [k for k in coordinates if k not in locked]
@@ -287,7 +422,12 @@ def descend(df: DataFrame, coordinates: dict, task: str, passes: int = 1, valida
     for k in coordinates:
         have = model.models.get(k)
         state = state.withColumn(names[k], F.lit(0.0)) if have is None else state.withColumn(names[k], have.score(state)) if isinstance(have, FixedModel) else have.scored(state, names[k])
-    state = cut(state)
+    shards = {coordinates[k].config.shard for k in trainable}
+    entities = {coordinates[k].config.entity for k in trainable if coordinates[k].config.entity}
+    state = state.select(*dict.fromkeys(["uid", "label", "offset", "weight", *sorted(entities), *sorted(shards), *names.values()]))
+    own = None
+    if any(isinstance(m, RandomModel) for k, m in model.models.items() if k in names):
+        state = own = cut(state)
     best: tuple | None = None
     history = []
     for n in range(passes):
@@ -305,14 +445,23 @@ def descend(df: DataFrame, coordinates: dict, task: str, passes: int = 1, valida
                 if c.config.bound is not None:  # rows that are neither active nor passive have no score here
                     seen = rows.select(F.col("uid").alias("__uid"))
                     state = state.join(seen.withColumn("__in", F.lit(True)), F.col("uid") == F.col("__uid"), "left").withColumn(names[k], F.when(F.col("__in"), F.col(names[k])).otherwise(0.0)).drop("__uid", "__in")
-            state = cut(state)
+            if n < passes - 1 or k != trainable[-1]:
+                before_cut, state = own, cut(state)
+                own = state
+                if before_cut is not None and give_back:
+                    give_back(before_cut)
             if validation is not None and evaluators:
-                found = evaluate.evaluate(model.score(validation), list(evaluators))
+                tags = sorted({e.tag for e in map(evaluate.Evaluator.parse, evaluators) if e.tag})
+                scored = model.score(validation).select(*dict.fromkeys(["uid", "label", "weight", "score", *tags])).persist()
+                found = evaluate.evaluate(scored, list(evaluators))
+                scored.unpersist()
                 history.append({"pass": n, "coordinate": k, **found})
                 primary = evaluate.Evaluator.parse(evaluators[0])
                 full = n > 0 or k == trainable[-1]
                 if full and (best is None or primary.better(found[primary.name], best[1][primary.name])):
                     best = (MixedModel(task, dict(model.models)), found)
+    if own is not None and give_back:
+        give_back(own)
     return Descended(*(best or (model, {})), history)
 
 

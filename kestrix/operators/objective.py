@@ -121,6 +121,47 @@ class Local:
         return self.x.gram(self._curvature(raw), self.size) + np.diag(self.penalty.curvature(self.size))
 
 
+class Many:
+    """Objectives of n entities in memory, side by side: ``by`` has the entity of each row, ``of`` that of each coefficient.
+
+    precision and mean are the penalty's, coefficient by coefficient.  An
+    evaluation for some of the entities takes only their rows.
+    """
+
+    def __init__(self, loss: Loss, x: Sparse, y, offset, weight, by: np.ndarray, of: np.ndarray, n: int, precision: np.ndarray, mean: np.ndarray):
+        self.loss, self.of, self.n, self.precision, self.mean = loss, of, n, precision, mean
+        self.all = (x.row, x.col, x.val, y, offset, weight, by)
+        self.who, self.some = np.ones(n, bool), self.all
+
+    def _rows(self, who: np.ndarray) -> tuple:
+        if not np.array_equal(who, self.who):
+            row, col, val, y, offset, weight, by = self.all
+            keep = who[by]
+            entries = keep[row]
+            place = np.cumsum(keep) - 1
+            self.some = (place[row[entries]], col[entries], val[entries], y[keep], offset[keep], weight[keep], by[keep])
+            self.who = who.copy()
+        return self.some
+
+    def value_gradient(self, b: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, col, val, y, offset, weight, by = self._rows(who)
+        z = np.bincount(row, val * b[col], len(y)) + offset
+        d, away = weight * self.loss.np_first(z, y), b - self.mean
+        value = np.bincount(by, weight * self.loss.np_value(z, y), self.n) + 0.5 * np.bincount(self.of, self.precision * away * away, self.n)
+        return value, np.bincount(col, val * d[row], len(b)) + self.precision * away
+
+    def hessian_vector(self, b: np.ndarray, v: np.ndarray, who: np.ndarray) -> np.ndarray:
+        row, col, val, y, offset, weight, _ = self._rows(who)
+        z = np.bincount(row, val * b[col], len(y)) + offset
+        d = weight * self.loss.np_second(z, y) * np.bincount(row, val * v[col], len(y))
+        return np.bincount(col, val * d[row], len(b)) + self.precision * v
+
+    def hessian_diagonal(self, b: np.ndarray) -> np.ndarray:
+        row, col, val, y, offset, weight, _ = self.all
+        d = weight * self.loss.np_second(np.bincount(row, val * b[col], len(y)) + offset, y)
+        return np.bincount(col, val * val * d[row], len(b)) + self.precision
+
+
 def packed(data: DataFrame) -> DataFrame:
     """(label, offset, weight, features) as compressed Arrow blocks: an evaluation need not turn rows into Arrow again."""
 
@@ -230,8 +271,7 @@ def variances(objective, raw: np.ndarray, kind: str) -> np.ndarray | None:
     if kind == "NONE" or objective.loss.np_second is None:
         return None
     if kind == "SIMPLE":
-        d = objective.hessian_diagonal(raw)
-        return np.where(np.abs(d) < 1e-12, 1e12, 1 / np.where(np.abs(d) < 1e-12, 1.0, d))
+        return inverse_diagonal(objective.hessian_diagonal(raw))
     if kind == "FULL":
         low = np.linalg.cholesky(objective.hessian_matrix(raw))
         inverse = np.linalg.inv(low)
@@ -239,6 +279,10 @@ def variances(objective, raw: np.ndarray, kind: str) -> np.ndarray | None:
     raise ValueError(f"no variance computation {kind}")
 
 
+def inverse_diagonal(d: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(d) < 1e-12, 1e12, 1 / np.where(np.abs(d) < 1e-12, 1.0, d))
+
+
 def penalty_term(b: np.ndarray, l1: float, l2: float) -> float:
     """Reported value of the penalty: the intercept counts here."""
     return l1 * float(np.abs(b).sum()) + l2 / 2 * float(b @ b)

@@ -585,7 +585,8 @@ def partial_retrain(spark, sf_dir):
     d, est = _game(spark, sf_dir)
     first = mixed.FixedModel("features", np.array(BETA))
     est.initial, est.locked = mixed.MixedModel("LOGISTIC_REGRESSION", {"global": first}), ("global",)
-    return est.fit(d.persist())[0][1].model.score(d).select("uid", "score")
+    d = mixed.kept(d)
+    return est.fit(d)[0][1].model.score(d).select("uid", "score")
 
 
 @query("incremental_prior")

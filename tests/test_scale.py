@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kestrix.functions import losses
+from kestrix.functions import losses, optim, optim_many
 from kestrix.operators import config, evaluate, indexing, mixed, objective, partitioning
 from kestrix.plans import catalog, single
 from kestrix.sources import avro
@@ -170,3 +170,60 @@ def test_path_packs_rows_once_and_the_same_folder_is_read_once(spark, monkeypatc
     monkeypatch.setattr(single.SingleJob, "_read", lambda self, at: read.append(at) or one(self, at))
     job = single.main(["--training-data-directory", f"{tmp_path}/in", "--validating-data-directory", f"{tmp_path}/in", "--output-directory", f"{tmp_path}/out", "--task", "linear_regression", "--regularization-weights", "10,1"])
     assert len(made) == 1 and len(read) == 1 and set(job.metrics) == {1.0, 10.0}
+
+
+def _problems(kind, rng):
+    """Rows of 60 problems of two coefficients and one of them alone."""
+    by = np.repeat(np.arange(60), rng.integers(1, 40, 60))
+    n = len(by)
+    y = {"LOGISTIC": rng.integers(0, 2, n), "HINGE": rng.integers(0, 2, n), "SQUARED": rng.normal(size=n), "POISSON": rng.poisson(2, n)}[kind].astype(float)
+    return by, y, rng.normal(size=n) * 0.3, 1 + rng.random(n), np.c_[rng.random(n), np.ones(n)]
+
+
+@pytest.mark.parametrize("most", [2, 30])
+@pytest.mark.parametrize("kind, name", [("LOGISTIC", "lbfgs"), ("LOGISTIC", "tron"), ("SQUARED", "lbfgs"), ("SQUARED", "tron"), ("POISSON", "lbfgs"), ("POISSON", "tron"), ("HINGE", "lbfgs")])
+def test_problems_side_by_side_take_the_steps_of_one(kind, name, most):
+    loss = getattr(losses, kind)
+    by, y, offset, weight, x = _problems(kind, np.random.default_rng(3))
+    n, rows = 60, len(by)
+    many = objective.Many(loss, objective.Sparse(rows, np.repeat(np.arange(rows), 2), (by[:, None] * 2 + [0, 1]).ravel(), x.ravel()), y, offset, weight, by, np.repeat(np.arange(n), 2), n, np.tile([0.5, 0.0], n), np.zeros(2 * n))
+    got, reasons, iterations = getattr(optim_many, name)(many, np.full(2 * n, 0.1), max_iterations=most)
+    for e in range(n):
+        k = by == e
+        own = objective.Local(loss, objective.Sparse(k.sum(), np.repeat(np.arange(k.sum()), 2), np.tile([0, 1], k.sum()), x[k].ravel()), y[k], offset[k], weight[k], 2, objective.Penalty(0.5, 1))
+        want = getattr(optim, name)(own, np.full(2, 0.1), max_iterations=most)
+        assert np.allclose(got[2 * e : 2 * e + 2], want.coefficients, atol=1e-6, rtol=1e-6)
+        assert (reasons[e], iterations[e]) == (want.reason, want.iterations)
+
+
+@pytest.mark.parametrize("more", [{}, {"optimizer": "TRON"}, {"bounds": {1: (-0.1, 0.1)}}])
+def test_entities_together_and_one_by_one(spark, monkeypatch, more):
+    monkeypatch.setattr(mixed, "TOGETHER", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.integers(0, 2)), 0.1, 1.0, None if i % 11 == 0 else f"e{i % 9}", [(0, float(rng.normal())), (1, 1.0)] if i % 4 else [(1, 1.0)]) for i in range(120)]
+    d = spark.createDataFrame(rows, "uid long, label double, offset double, weight double, e string, features array<struct<idx:int,val:double>>")
+    old = spark.createDataFrame([("gone", [(3, 1.5, 0.2)]), ("e1", [(0, 0.3, 0.5), (7, 0.2, None)]), (None, [(1, -0.4, 0.1)])], f"e string, coefficients {mixed.COEFFICIENTS}")
+    before = mixed.RandomModel("features", "e", old)
+
+    def run(**prior):
+        c = mixed.RandomCoordinate(config.Coordinate("r", entity="e", regularization="L2", weight=2.0, tolerance=1e-12, max_iterations=60, **more), "LOGISTIC_REGRESSION", variance="SIMPLE")
+        out = c.train(c.rows(d), F.col("offset"), before, before if prior else None)
+        return {r["e"]: {x["idx"]: (x["mean"], x["variance"]) for x in r["coefficients"]} for r in out.table.collect()}
+
+    for prior in ({}, {"prior": True}):
+        with monkeypatch.context() as m:
+            got = run(**prior)
+            m.setattr(mixed._Solver, "_plain", lambda self: False)
+            want = run(**prior)
+        assert set(got) == set(want) == {None, "gone", *(f"e{i}" for i in range(9))} and got["gone"] == {3: (1.5, 0.2)}
+        for e in want:
+            assert set(got[e]) == set(want[e]) and all(np.allclose(got[e][k], want[e][k], atol=1e-5) for k in want[e])
+
+
+def test_kept_rows_are_a_table_until_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: f"file://{tmp_path}")
+    d = mixed.kept(spark.range(100).selectExpr("id AS uid", "id % 7 AS e"))
+    there = list(tmp_path.glob("kestrix-rows-*/*.zstd.parquet"))
+    assert there and d.count() == 100 and not d.storageLevel.useMemory
+    mixed.dropped(d)
+    assert not list(tmp_path.glob("kestrix-rows-*"))
