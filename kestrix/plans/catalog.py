@@ -575,8 +575,9 @@ def _game(spark, sf_dir, **options):
 @query("game_descent")
 def game_descent(spark, sf_dir):
     d, est = _game(spark, sf_dir, passes=2, evaluators=["AUC", "LOGISTIC_LOSS", "AUC:supplier"])
-    held = F.crc32(F.col("uid").cast("binary")) % 5 == 0
-    out = est.fit(d.where(~held).persist(), d.where(held).persist())[0][1]
+    held, d = F.crc32(F.col("uid").cast("binary")) % 5 == 0, mixed.kept(d)
+    out = est.fit(d.where(~held), d.where(held))[0][1]
+    mixed.dropped(d)
     return spark.createDataFrame([(h["pass"], h["coordinate"], h["AUC"], h["LOGISTIC_LOSS"], h["AUC:supplier"]) for h in out.history], "pass int, coordinate string, auc double, logistic_loss double, auc_supplier double")
 
 
